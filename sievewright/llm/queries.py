@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import common, packing, token_counts, token_files
+from . import common, decontaminate, line_dedup, packing, preferences, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(spark, path)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.html_text(F.col("html")).alias("text"))
+    pages, _ = common.written(pages, "page-text")
+    return line_dedup.drop_boilerplate(pages, "host", "text", count_cols=("n_lines", "n_dropped"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -27,5 +38,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op5_token_counts, op6_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
+    turns = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+    return preferences.format_pairs(turns)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_decontaminate, op5_token_counts, op6_packing, op7_preferences)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": f"""WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host, {line_dedup.oracle_html("html")} AS t FROM pages),
+      {line_dedup.oracle_lines("p", "host", "t")}
+      SELECT page_id, host, new_text AS text, n_lines, n_dropped FROM src JOIN cleaned USING (r)""",
+    "op3_decontaminate": f"WITH {decontaminate.oracle()} SELECT * FROM leaks",
+    "op7_preferences": preferences.oracle(),
+}
