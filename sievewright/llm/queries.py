@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import common, decontaminate, line_dedup, packing, preferences, token_counts, token_files
+from . import common, decontaminate, line_dedup, ngram_join, packing, preferences, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +44,16 @@ def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.format_pairs(turns)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_decontaminate, op5_token_counts, op6_packing, op7_preferences)}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_decontaminate, op5_token_counts, op6_packing, op7_preferences, op8_ngram_join)}
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": f"""WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host, {line_dedup.oracle_html("html")} AS t FROM pages),
       {line_dedup.oracle_lines("p", "host", "t")}
       SELECT page_id, host, new_text AS text, n_lines, n_dropped FROM src JOIN cleaned USING (r)""",
     "op3_decontaminate": f"WITH {decontaminate.oracle()} SELECT * FROM leaks",
     "op7_preferences": preferences.oracle(),
+    "op8_ngram_join": f"WITH RECURSIVE {ngram_join.oracle()} SELECT * FROM grouped",
 }
