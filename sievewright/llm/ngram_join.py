@@ -73,32 +73,33 @@ class Shingler:
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=U))
 
-    def sets(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all texts' sets, each sorted, one after another, and each set's size.
-
-        data: the texts' bytes; ends: where each ends.
-        """
-        sizes = np.zeros(len(ends), np.int64)
-        if not len(data):
-            return np.empty(0, U), sizes
+    def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all words, each text's first and last (not included), and where words begin and stop."""
         self.grow(len(data) + 1)
         inside = self.word[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[0] = True
         cut[ends] = True
         before = np.empty(len(data), bool)
-        before[0] = False
+        before[:1] = False
         before[1:] = inside[:-1]
         begins = np.flatnonzero(inside & (~before | cut[:-1]))
         after = np.empty(len(data), bool)
-        after[-1] = False
+        after[-1:] = False
         after[:-1] = inside[1:]
         stops = np.flatnonzero(inside & (~after | cut[1:])) + 1
         total = np.zeros(len(data) + 1, U)
         np.cumsum(self.value[data] * self.power[: len(data)], out=total[1:])
         words = mix((total[stops] - total[begins]) * self.inverse[begins])
-        first = np.searchsorted(begins, np.concatenate(([0], ends[:-1])))
-        last = np.searchsorted(begins, ends)
+        return words, np.searchsorted(begins, np.concatenate(([0], ends[:-1]))), np.searchsorted(begins, ends), begins, stops
+
+    def sets(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all texts' sets, each sorted, one after another, and each set's size.
+
+        data: the texts' bytes; ends: where each ends.
+        """
+        sizes = np.zeros(len(ends), np.int64)
+        words, first, last, _, _ = self.words(data, ends)
         n = last - first
         if len(words) >= WORDS:
             rolled = np.zeros(len(words) - WORDS + 1, U)
