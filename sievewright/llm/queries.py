@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import common, decontaminate, line_dedup, ngram_join, packing, preferences, quality, token_counts, token_files
+from . import common, decontaminate, embed_dedup, line_dedup, ngram_join, packing, preferences, quality, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,16 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_decontaminate, op5_token_counts, op6_packing, op7_preferences, op8_ngram_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_decontaminate, op5_token_counts, op6_packing, op7_preferences, op8_ngram_join, op9_embed_dedup, op10_quality)}
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": f"""WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host, {line_dedup.oracle_html("html")} AS t FROM pages),
       {line_dedup.oracle_lines("p", "host", "t")}
