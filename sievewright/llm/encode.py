@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -52,23 +53,68 @@ def vocabulary_size(path: str, *more: int) -> int:
     return max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), *(x + 1 for x in more))
 
 
+_here: dict[tuple, object] = {}
+
+
+def worker_wide(make, *args):
+    """make(*args), once for each Python worker: what it has learned serves the worker's later tasks."""
+    key = (make.__qualname__, *args)
+    if key not in _here:
+        _here[key] = make(*args)
+    return _here[key]
+
+
+class Known(dict):
+    """Results by piece, `keep` at most. The frequent pieces come early, so a full table takes no more
+    and stays as it is, unless a batch has most of its pieces not in it: then it starts anew."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def lookup(self, pieces: set, ask):
+        """A function from each of these pieces to its result; ask(list) gives those of unknown ones."""
+        new = list(pieces.difference(self))
+        if not new:
+            return self.__getitem__
+        found = dict(zip(new, ask(new)))
+        if len(self) + len(found) > self.keep and 2 * len(new) > len(pieces):
+            self.clear()
+        if len(self) + len(found) <= self.keep:
+            self.update(found)
+            return self.__getitem__
+        found.update((p, self[p]) for p in pieces if p in self)
+        return found.__getitem__
+
+
+def byte_marks() -> dict[int, str]:
+    """Byte-level tokenizers write a byte as a printable character: itself if it is one, else the next
+    unused one from U+0100. For each safe character, those of its UTF-8 bytes."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(0x100) if b not in plain]
+    mark = {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+    return {c: "".join(mark[b] for b in chr(c).encode()) for c in (*range(0x250), *range(0x2010, 0x2028), 0x20AC)}
+
+
 class Encoder:
     """Texts to little-endian ids; at most `keep` pieces are remembered."""
 
-    def __init__(self, path: str, keep: int = 700_000, longest: int = 40):
+    def __init__(self, path: str, keep: int = 1_200_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.keep, self.longest, self.table = Tokenizer.from_file(path), keep, longest, {}
+        self.tok, self.longest, self.table = Tokenizer.from_file(path), longest, Known(keep)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = kind_of(spec)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size(with_added_tokens=True) <= 65536 else np.dtype("<u4")
+        self.code = "HI"[self.dtype.itemsize > 2]
         special = "|".join(re.escape(x["content"]) for x in spec.get("added_tokens", []))
+        self.model, self.marks = self.tok.model.tokenize, byte_marks()
+        self.too_long: list[str] = []  # not worth a place in the table
         self.whole = re.compile(f"{UNSAFE.pattern}|{special}" if special else UNSAFE.pattern)
 
     def ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
@@ -76,22 +122,17 @@ class Encoder:
             return [x for i in range(0, len(texts), 256) for x in self.ask(texts[i : i + 256])]
         find, lower = KINDS[self.kind].findall, self.kind == "words"
         pieces = [None if self.whole.search(t) else find(t.lower() if lower else t) for t in texts]
-        new = set(chain.from_iterable(p for p in pieces if p)).difference(self.table)
-        if new:
-            if len(self.table) + len(new) > self.keep:
-                self.table = {}
-                new = set(chain.from_iterable(p for p in pieces if p))
-            order = list(new)
-            for i in range(0, len(order), 20_000):
-                part = order[i : i + 20_000]
-                self.table.update(zip(part, self.ask(part)))
-        get = self.table.__getitem__
+        get = self.table.lookup(set(chain.from_iterable(p for p in pieces if p)), self.ask_all)
         out = [self.ask([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
-        if any(len(p) > self.longest for p in new):
-            for p in [p for p in new if len(p) > self.longest]:
-                del self.table[p]
+        for p in self.too_long:
+            self.table.pop(p, None)
         return out
 
+    def ask_all(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces: they need no cutting any more, so the library's model has them alone."""
+        self.too_long = [p for p in pieces if len(p) > self.longest]
+        return [array(self.code, [t.id for t in self.model(p.translate(self.marks))]).tobytes() for p in pieces]
+
 
 def slices(texts: list[str | None], chars: int = 2_000_000):
     """Index ranges of at most so many characters (one text at least): bounds what a task holds."""

@@ -99,7 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def tokens(batches):
-        enc = encode.Encoder(tokenizer)
+        enc = encode.worker_wide(encode.Encoder, tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]

@@ -38,10 +38,10 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]], keep: int = 700_000):
+    def __init__(self, pieces: list[tuple[str, float]], keep: int = 1_200_000):
         import ahocorasick
 
-        self.auto, self.keep, self.table = ahocorasick.Automaton(), keep, {}
+        self.auto, self.table, self.too_long = ahocorasick.Automaton(), encode.Known(keep), []
         for i, (piece, _) in enumerate(pieces):
             if piece:
                 self.auto.add_word(piece, i)
@@ -92,16 +92,14 @@ class Counter:
         """One very long word, character by character: memory follows its length."""
         text = MARK + word
         best, count, last = [0.0] * (len(text) + 1), [0] * (len(text) + 1), [False] * (len(text) + 1)
-        length, score = self.length, self.score
         for end, group in self._by_end(text):
-            top, pick = None, None
+            top, pick = None, (0, False)
             for start, value, odd in group:
                 path = value + best[start]
                 if top is None or path > top:
                     top, pick = path, (start, odd)
             best[end], last[end] = top, pick[1]
             count[end] = count[pick[0]] + 1 - (pick[1] and last[pick[0]])
-        del length, score
         return count[-1]
 
     def _by_end(self, text: str):
@@ -126,22 +124,26 @@ class Counter:
     def texts(self, texts: list[str]) -> list[tuple[int, int]]:
         """(words, tokens) of each text."""
         cut = [(SPLIT_PLAIN.findall(t) if ODD_SPACE.search(t) else t.split()) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.table)
-        if len(self.table) + len(new) > self.keep:
-            self.table = {}
-            new = set(chain.from_iterable(cut))
-        short = [w for w in new if len(w) <= 120]
-        for i in range(0, len(short), 10_000):
-            part = short[i : i + 10_000]
-            self.table.update(zip(part, self.words(part)))
-        long = [w for w in new if len(w) > 120]
-        self.table.update((w, self.long_word(w)) for w in long)
-        get = self.table.__getitem__
+        get = self.table.lookup(set(chain.from_iterable(cut)), self.search)
         out = [(len(ws), sum(map(get, ws))) for ws in cut]
-        for w in long:
-            del self.table[w]
+        for w in self.too_long:
+            self.table.pop(w, None)
         return out
 
+    def search(self, words: list[str]) -> list[int]:
+        """Pieces of each word, the very long ones one by one."""
+        short = [w for w in words if len(w) <= 120]
+        self.too_long = [w for w in words if len(w) > 120]
+        found: dict[str, int] = {}
+        for i in range(0, len(short), 10_000):
+            found.update(zip(short[i : i + 10_000], self.words(short[i : i + 10_000])))
+        found.update((w, self.long_word(w)) for w in self.too_long)
+        return [found[w] for w in words]
+
+
+def model_counter(model: str) -> Counter:
+    return Counter(vocabulary(model))
+
 
 def count_tokens(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens of every whole text; model is a sentencepiece file whose pieces and
@@ -151,7 +153,7 @@ def count_tokens(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_co
     """
 
     def run(batches):
-        counter = Counter(vocabulary(model))
+        counter = encode.worker_wide(model_counter, model)
         for batch in batches:
             texts, out = [x or "" for x in batch.column(1).to_pylist()], []
             for a, b in encode.slices(texts):

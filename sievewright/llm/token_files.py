@@ -72,7 +72,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_col: st
     n = shards or common.buckets(docs, 12)
 
     def run(batches):
-        enc = encode.Encoder(tokenizer)
+        enc = encode.worker_wide(encode.Encoder, tokenizer)
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         ids, names, starts, held = [], [], [], 0
 
