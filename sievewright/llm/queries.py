@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import common, decontaminate, embed_dedup, line_dedup, ngram_join, packing, preferences, quality, token_counts, token_files
+from . import common, decontaminate, embed_dedup, line_dedup, ngram_join, packing, preferences, quality, suffix_dedup, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("spans")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -57,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_decontaminate, op5_token_counts, op6_packing, op7_preferences, op8_ngram_join, op9_embed_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_decontaminate, op4_suffix_dedup, op5_token_counts, op6_packing, op7_preferences, op8_ngram_join, op9_embed_dedup, op10_quality)}
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": f"""WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host, {line_dedup.oracle_html("html")} AS t FROM pages),
       {line_dedup.oracle_lines("p", "host", "t")}
