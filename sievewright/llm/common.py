@@ -12,7 +12,11 @@ Rules that hold for every operator here unless its docstring says otherwise
 from __future__ import annotations
 
 import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +25,23 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 _left: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, whose Python need not have it, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    file = Path(folder) / f"{package.name}.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(file))
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -58,6 +79,7 @@ def clear_scratch() -> None:
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """df as a table written to the shared folder, and its path. It cuts lineage and outlives executors."""
+    ship(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
@@ -78,6 +100,7 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     Whether ids repeat is found by a count over the id column alone; only then are texts reduced.
     """
+    ship(df.sparkSession)
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
         rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
