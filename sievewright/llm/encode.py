@@ -1,11 +1,12 @@
-"""Whole texts to ids by the tokenizers library, each distinct piece of text encoded once.
+"""Whole texts to ids by the tokenizers library, each distinct chunk of text encoded once.
 
 A byte-pair encoder never merges across the pieces its pre-tokenizer cuts, so the ids of a text are
-the ids of its pieces one after another. Pieces are cut here by the pre-tokenizer's own pattern and
-looked up in a bounded table of pieces that the library has encoded before; new ones go to the
-library in batches. Two pre-tokenizers are known (see KINDS). Texts with characters outside SAFE,
-with a special token's string, or for any other tokenizer go to the library whole, so the result is
-always the library's.
+the ids of its pieces one after another. Two pre-tokenizers are known (see KINDS); neither cuts
+differently when a text is first split at single spaces (or, where white space is dropped, at any).
+So texts are split there, and each chunk is looked up in a bounded table of chunks met before; the
+pieces of a new one are cut by the pre-tokenizer's pattern and encoded by the library's model.
+Texts with characters outside the safe ones or with a special token's string, and all texts of other
+tokenizers, go to the library whole, so the result is always the library's.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import json
 import os
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 
@@ -22,7 +22,12 @@ import numpy as np
 SPACE = "\\t-\\r \\x85\\xa0"
 NUMBERS = "²³¹¼½¾"
 #: Characters whose class and case are the same in Python and in the library; all are stable under NFC.
-UNSAFE = re.compile("[^\\x00-\\u0130\\u0132-\\u024f‐-‧€]|İ")
+UNSAFE = re.compile("[^\\x00-\\u012f\\u0132-\\u024f‐-‧€]")
+#: White space for Python's split() only, not for the library.
+ODD = "\x1c\x1d\x1e\x1f"
+#: Next to other white space a space may belong to another piece; texts with that or FIRST are cut whole.
+MIXED_SPACE = ("\0", "  ", "\n ", " \n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
+FIRST = "\0"
 LETTER, NUMBER, OTHER = rf"[^\W\d_{NUMBERS}]", rf"[\d{NUMBERS}]", rf"(?:[^\w{SPACE}]|_)"
 KINDS = {
     "bytes": re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
@@ -95,43 +100,88 @@ def byte_marks() -> dict[int, str]:
     return {c: "".join(mark[b] for b in chr(c).encode()) for c in (*range(0x250), *range(0x2010, 0x2028), 0x20AC)}
 
 
+class Chunks(dict):
+    """Ids of chunks, `keep` at most. The frequent ones come early, so a full table takes no more; it
+    starts anew if twice as many as it holds were not found since."""
+
+    def __init__(self, keep: int, ask):
+        self.keep, self.ask, self.missed = keep, ask, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.ask(chunk)
+        if len(self) < self.keep:
+            if len(chunk) <= 40:
+                self[chunk] = ids
+        else:
+            self.missed += 1
+            if self.missed > 2 * self.keep:
+                self.clear()
+                self.missed = 0
+        return ids
+
+
 class Encoder:
-    """Texts to little-endian ids; at most `keep` pieces are remembered."""
+    """Texts to little-endian ids."""
 
-    def __init__(self, path: str, keep: int = 1_200_000, longest: int = 40):
+    def __init__(self, path: str, keep: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.longest, self.table = Tokenizer.from_file(path), longest, Known(keep)
+        self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = kind_of(spec)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size(with_added_tokens=True) <= 65536 else np.dtype("<u4")
         self.code = "HI"[self.dtype.itemsize > 2]
-        special = "|".join(re.escape(x["content"]) for x in spec.get("added_tokens", []))
-        self.model, self.marks = self.tok.model.tokenize, byte_marks()
-        self.too_long: list[str] = []  # not worth a place in the table
-        self.whole = re.compile(f"{UNSAFE.pattern}|{special}" if special else UNSAFE.pattern)
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.model, self.marks, self.table = self.tok.model.tokenize, byte_marks(), Chunks(keep, self.chunk)
+        self.mark = self.marks[32] if self.kind == "bytes" else ""
+        self.stops: dict[str, bytes] = {}
+        if self.kind:
+            self.stops = {c: self.pieces(c) for c in ".,"}
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, text: str) -> bytes:
+        """The ids of a text (as the pre-tokenizer gets it) by the pattern and the model."""
+        ids = [t.id for p in KINDS[self.kind].findall(text) for t in self.model(p.translate(self.marks))]
+        return array(self.code, ids).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk. In the table of kind "bytes" a chunk stands without the space before it;
+        one that has none, at the start of a text, has FIRST instead.
+
+        A chunk of letters is one piece; so are its letters if one stop or comma follows, which is
+        another. They need no pattern, and the letters may be known.
+        """
+        if chunk.isalpha():
+            word = chunk if chunk.isascii() else chunk.translate(self.marks)
+            return array(self.code, [t.id for t in self.model(self.mark + word)]).tobytes()
+        if chunk[-1:] in self.stops and chunk[:-1].isalpha():
+            return self.table[chunk[:-1]] + self.stops[chunk[-1]]
+        if self.kind == "words":
+            return self.pieces(chunk)
+        return self.pieces(chunk[1:] if chunk[:1] == FIRST else " " + chunk)
+
+    def one(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not text.isascii() and UNSAFE.search(text) or any(x in text for x in self.special):
+            return self.ask([text])[0]
+        if self.kind == "words":
+            if any(c in text for c in ODD):
+                return self.ask([text])[0]
+            return b"".join(map(self.table.__getitem__, text.lower().split()))
+        if text[0] == " " or text[-1] == " " or any(x in text for x in MIXED_SPACE):
+            return self.pieces(text)
+        return b"".join(map(self.table.__getitem__, (FIRST + text).split(" ")))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
         if self.kind is None:
             return [x for i in range(0, len(texts), 256) for x in self.ask(texts[i : i + 256])]
-        find, lower = KINDS[self.kind].findall, self.kind == "words"
-        pieces = [None if self.whole.search(t) else find(t.lower() if lower else t) for t in texts]
-        get = self.table.lookup(set(chain.from_iterable(p for p in pieces if p)), self.ask_all)
-        out = [self.ask([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
-        for p in self.too_long:
-            self.table.pop(p, None)
-        return out
-
-    def ask_all(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces: they need no cutting any more, so the library's model has them alone."""
-        self.too_long = [p for p in pieces if len(p) > self.longest]
-        return [array(self.code, [t.id for t in self.model(p.translate(self.marks))]).tobytes() for p in pieces]
+        return [self.one(t) for t in texts]
 
 
 def slices(texts: list[str | None], chars: int = 2_000_000):
