@@ -1,3 +1,3 @@
 """The registered queries, by family; importing this registers them."""
 
-from . import aggregation, classification, selection  # noqa: F401
+from . import aggregation, classification, ranking, scoring, selection  # noqa: F401
