@@ -82,12 +82,15 @@ class Known(dict):
         if not new:
             return self.__getitem__
         found = dict(zip(new, ask(new)))
-        if len(self) + len(found) > self.keep and 2 * len(new) > len(pieces):
-            self.clear()
         if len(self) + len(found) <= self.keep:
             self.update(found)
             return self.__getitem__
+        anew = 2 * len(new) > len(pieces)
         found.update((p, self[p]) for p in pieces if p in self)
+        if anew:
+            self.clear()
+            if len(found) <= self.keep:
+                self.update(found)
         return found.__getitem__
 
 

@@ -4,8 +4,8 @@ Documents are dealt to groups by a hash of their id, some `group_docs` to a grou
 packed on its own: whole sequences are cut from documents that are longer; what remains of each is
 placed, longest first, into the first sequence with room for it. The first one with room is found in
 a tournament tree over the sequences' free places, in the logarithm of their number. At the end the
-emptiest sequences of the group are dissolved and cut up into the gaps of the others, so at most one
-sequence of a group has free places. A group is bounded by its number of documents, so a task holds
+emptiest sequences of the group are dissolved and cut up into the gaps of the others, so all of a
+group's sequences together have fewer free places than one has places. A group is bounded by its number of documents, so a task holds
 a few MB whatever the corpus.
 """
 

@@ -5,7 +5,7 @@ word's character boundaries keeps the best score and the number of pieces on tha
 pieces. Rules of ties and unknown characters are the library's (tokenizers.models.Unigram): a path
 is replaced only by a strictly better one, and starts are tried from the left, so of equal paths the
 one with the longest last piece stays; a character that no one-character piece covers may be passed
-at the least score less 10; unknown characters in a row are one piece.
+at the least score less 10; unknown pieces in a row (written out or not) are one.
 
 Words are cut at white space and get the mark U+2581 in front. The same word always has the same
 count, so each task looks words up in a bounded table and searches only new ones, many at a time.
@@ -24,6 +24,8 @@ from . import common, encode
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: A mark that the text has itself starts a new part.
+MARKED = re.compile(f"{MARK}[^{MARK}]*")
 #: White space for Python's split() only, not for the library.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPLIT_PLAIN = re.compile("[^\\t-\\r \\x85\\xa0 -     　]+")
@@ -67,7 +69,7 @@ class Counter:
         lone = np.flatnonzero(alone[: at[-1] + size[-1]])
         start, end = np.concatenate((start, lone)), np.concatenate((end, lone + 1))
         score = np.concatenate((self.score[piece], np.full(len(lone), self.unknown)))
-        unknown = np.arange(len(start)) >= len(piece)
+        unknown = np.concatenate((piece == 0, np.ones(len(lone), bool)))
         rank = end - np.repeat(at, size + 1)[end]
         order = np.lexsort((start, end, rank))
         start, end, score, unknown, rank = start[order], end[order], score[order], unknown[order], rank[order]
@@ -115,7 +117,7 @@ class Counter:
                 yield now, closed()
                 ways, now, alone = [], now + 1, True
             n = int(self.length[piece])
-            ways.append((now - n, float(self.score[piece]), False))
+            ways.append((now - n, float(self.score[piece]), piece == 0))
             alone &= n != 1
         while now <= len(text):
             yield now, closed()
@@ -124,8 +126,10 @@ class Counter:
     def texts(self, texts: list[str]) -> list[tuple[int, int]]:
         """(words, tokens) of each text."""
         cut = [(SPLIT_PLAIN.findall(t) if ODD_SPACE.search(t) else t.split()) for t in texts]
+        n_words = [len(ws) for ws in cut]
+        cut = [[part[1:] for w in ws for part in MARKED.findall(w if w[0] == MARK else MARK + w)] if MARK in t else ws for t, ws in zip(texts, cut)]
         get = self.table.lookup(set(chain.from_iterable(cut)), self.search)
-        out = [(len(ws), sum(map(get, ws))) for ws in cut]
+        out = [(n, sum(map(get, ws))) for n, ws in zip(n_words, cut)]
         for w in self.too_long:
             self.table.pop(w, None)
         return out
