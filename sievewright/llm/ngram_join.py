@@ -5,7 +5,7 @@ Jaccard similarity is at least num/den (4/5); the result is the connected groups
 
 Method
 ------
-* Sizes fall into bands, each 1.6 times the last. If the smaller of two linked sets is in a band, the
+* Sizes fall into bands, each den/num times the last. If the smaller of two linked sets is in a band, the
   sets differ in at most d shingles, d following from the band's largest size.
 * A set's sketch for a band has K blocks; a shingle's hash picks its block and toggles it. A block is
   kept as the XOR of its shingles' 64-bit words, which is the parity of a bit vector of that many
@@ -16,11 +16,14 @@ Method
   are not empty still shares one of them with each partner. A set that has fewer goes on to the next
   stage, with other blocks; its partners that have enough were joined before, and those that haven't
   come along. After the last stage the rest join on single shingles. So no link is lost.
-* Stage 0 leaves very frequent shingles (a passage in a large part of all documents) out of all
-  sketches; that only lowers the symmetric difference, so all of the above holds as it is.
+* Stages 0 and 1 leave very frequent shingles (a passage in a large part of all documents) out of all
+  sketches; that only lowers the symmetric difference, so all of the above holds as it is. Stage 1
+  has four blocks for each possible difference, so a set with a third of its shingles left is served.
+* Candidates with an equal block are compared by their whole sketches of single bits first; where
+  those differ in more bits than linked sets may have shingles between them, the pair is out.
 * Equal sets are one class and only its least id is compared. Candidates with an equal block are
-  first compared with the least of them; groups of equal blocks that are not in one component after
-  that are compared pair by pair across components. Only exact comparisons of sets make links.
+  first paired with the one that most groups have; groups of equal blocks that are not in one component after
+  that are paired across components. Only exact comparisons of sets make links.
 
 Scale: block keys are packed into binary rows, one for each batch of documents and bucket of keys, so
 a key costs some 8 bytes in one shuffle. Documents of a batch that share a key are chained before the
@@ -29,13 +32,17 @@ shuffle, so a key held by a third of all documents brings a row for each batch.
 
 from __future__ import annotations
 
+import zlib
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, encode
 
 WORDS = 5
 STAGES = 10
@@ -66,7 +73,7 @@ class Shingler:
 
     def grow(self, n: int) -> None:
         if len(self.power) < n:
-            n = max(n, 1 << 22)
+            n = max(n, 1 << 20)
             back = pow(self.BASE, -1, 1 << 64)
             for name, base in (("power", self.BASE), ("inverse", back)):
                 steps = np.full(n, U(base))
@@ -122,7 +129,7 @@ class Shingler:
         return (np.concatenate(out) if out else np.empty(0, U)), sizes
 
 
-def text_buffers(column: pa.Array, bytes_each: int = 4_000_000):
+def text_buffers(column: pa.Array, bytes_each: int = 1 << 20):
     """(first row, UTF-8 bytes, ends) of runs of texts of about so many bytes; nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -141,12 +148,12 @@ class Bands:
         self.num, self.den, self.low, self.d, self.k = num, den, [], [], []
         low = 1
         while low < largest:
-            high = max(low + 1, int(low * 1.6), -(-low * den // num) if low > 1 else 0)
+            high = max(low + 1, -(-low * den // num))
             most = high - 1 + (high - 1) * den // num  # the smaller set and its largest partner
             d = most * (den - num) // (den + num)
             self.low.append(low)
             self.d.append(d)
-            self.k.append(1 if d == 0 else d + 1 + max(1, int(0.4 * d)))
+            self.k.append(1 if d == 0 else d + 1 + max(1, int(0.16 * d)))
             low = high
         self.low, self.d, self.k = (np.array(x, np.int64) for x in (self.low, self.d, self.k))
 
@@ -176,7 +183,7 @@ def block_keys(hashes: np.ndarray, sizes: np.ndarray, bands: Bands, frequent: np
         for stage in range(STAGES + 1):
             if not todo.any():
                 break
-            use = todo[owner] & rare if stage == 0 else todo[owner]
+            use = todo[owner] & rare if stage <= 1 else todo[owner]
             h, who = hashes[use], owner[use]
             if stage:
                 h = mix(h ^ mix(np.full(1, stage, U)))
@@ -187,7 +194,7 @@ def block_keys(hashes: np.ndarray, sizes: np.ndarray, bands: Bands, frequent: np
                 keys.append(mix(h ^ tag))
                 owners.append(who)
                 break
-            k = bands.k[band[who]].astype(U)
+            k = (bands.k if stage != 1 else np.maximum(4 * bands.d, 1))[band[who]].astype(U)
             block = ((h >> U(32)) * k) >> U(32)
             if not len(h):
                 continue
@@ -213,12 +220,59 @@ def _digests(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x, s
 
 
-DIGESTS = "doc_id long, n long, x long, s long, frequent boolean"
+def bit_sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """Each set's parity sketch: a shingle toggles one bit. A set of n has a power of two of bits, 2n
+    to 4n, 64 at least; folding one in half (XOR) is the sketch of half as many bits."""
+    out: list[bytes | None] = []
+    spread, at = mix(hashes + U(13)), 0
+    for n in sizes.tolist():
+        if not n:
+            out.append(None)
+            continue
+        bits = max(64, 1 << (2 * n - 1).bit_length())
+        toggled = np.bincount((spread[at : at + n] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(toggled.astype(np.uint8), bitorder="little").tobytes())
+        at += n
+    return out
+
+
+#: Bits of the sketches of one length that a join's condition compares.
+FOLD = 512
+
+
+def folded_sketches(hashes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Each set's parity sketch of FOLD bits, as 64-bit integers."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = owner * FOLD + (mix(hashes + U(13)) & U(FOLD - 1)).astype(np.int64)
+    toggled = (np.bincount(at, minlength=FOLD * len(sizes)) & 1).astype(np.uint8)
+    words = np.packbits(toggled, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * (FOLD // 64), pa.int32()), pa.array(words))
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded: at most the sets' symmetric difference."""
+    p, q = np.frombuffer(a, U), np.frombuffer(b, U)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def _near(batches, num: int, den: int):
+    """Pairs whose sketches allow that they link."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")))
+        keep = pa.array([hamming(x, y) <= (m + n) * (den - num) // (den + num) for x, y, m, n in rows], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+
+DIGESTS = "doc_id long, n long, x long, s long, sketch binary, fold array<long>, frequent boolean"
 
 
 def digests(batches, share: float):
     """A row for each document; also the batch's frequent shingles (x) with their counts (n)."""
-    shingler = Shingler()
+    shingler = encode.worker_wide(Shingler)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         seen, documents = [], 0
@@ -227,7 +281,7 @@ def digests(batches, share: float):
             x, s = _digests(hashes, sizes)
             n = len(sizes)
             documents += n
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + n]), pa.array(sizes), pa.array(x.view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.zeros(n, bool))], ["doc_id", "n", "x", "s", "frequent"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + n]), pa.array(sizes), pa.array(x.view(np.int64)), pa.array(s.view(np.int64)), pa.array(bit_sketches(hashes, sizes), pa.binary()), folded_sketches(hashes, sizes), pa.array(np.zeros(n, bool))], ["doc_id", "n", "x", "s", "sketch", "fold", "frequent"])
             common_here = np.sort(hashes)
             edge = np.flatnonzero(np.concatenate(([True], common_here[1:] != common_here[:-1], [True]))) if len(common_here) else np.zeros(1, np.int64)
             times = np.diff(edge)
@@ -239,11 +293,13 @@ def digests(batches, share: float):
             times = np.bincount(which, t, len(values)).astype(np.int64)
             often = times >= max(3, int(share * documents / 2))
             values, times = values[often], times[often]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.array(times), pa.array(values.view(np.int64)), pa.nulls(len(values), pa.int64()), pa.array(np.ones(len(values), bool))], ["doc_id", "n", "x", "s", "frequent"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.array(times), pa.array(values.view(np.int64)), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.binary()), pa.nulls(len(values), pa.list_(pa.int64())), pa.array(np.ones(len(values), bool))], ["doc_id", "n", "x", "s", "sketch", "fold", "frequent"])
 
 
-PACKED = "bucket long, keys binary, docs binary, members array<long>"
+PACKED = "bucket long, keys binary, rows binary, ids binary, members array<long>"
 GROUPS = "key long, members array<long>"
+#: A key that so many documents of one batch share goes on with the least of them alone.
+CROWD = 32
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,70 +309,89 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed_keys(batches, bands: Bands, frequent: np.ndarray, n_buckets: int):
-    """Block keys of each batch, by bucket; documents of the batch that share a key become a group
-    at once (bucket from n_buckets on) and only the least goes on with it."""
-    shingler = Shingler()
+    """Block keys of each batch, by bucket: six bytes of each key, the row it is of, the rows' ids.
+
+    A crowd (see CROWD) becomes a group at once, in buckets from n_buckets on.
+    """
+    shingler = encode.worker_wide(Shingler)
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        keys, docs, known = [], [], set()
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        keys, rows = [], []
         for a, data, ends in text_buffers(batch.column(1)):
             hashes, sizes = shingler.sets(data, ends)
-            x, s = _digests(hashes, sizes)
-            keep = np.zeros(len(sizes), bool)
-            for d, mark in enumerate(zip(sizes.tolist(), x.tolist(), s.tolist())):
-                if mark not in known:
-                    known.add(mark)
-                    keep[d] = True
-            if not keep.all():
-                hashes, sizes, rows = hashes[np.repeat(keep, sizes)], sizes[keep], np.flatnonzero(keep) + a
-            else:
-                rows = np.arange(len(sizes)) + a
             k, who = block_keys(hashes, sizes, bands, frequent)
             keys.append(k)
-            docs.append(ids[rows][who])
-        if not keys or not sum(map(len, keys)):
+            rows.append(a + who)
+        if not sum(map(len, keys)):
             continue
-        keys, docs = np.concatenate(keys), np.concatenate(docs)
+        keys, rows = np.concatenate(keys), np.concatenate(rows)
         order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
+        keys, rows = keys[order], rows[order]
         new, size = _runs(keys)
-        least = np.minimum.reduceat(docs, new)
-        bucket = ((keys[new] >> U(32)) * U(n_buckets)) >> U(32)
+        out, gone = [], np.zeros(len(keys), bool)
+        for i in np.flatnonzero(size >= CROWD).tolist():
+            group = np.unique(ids[rows[new[i] : new[i] + size[i]]])
+            rows[new[i]] = np.flatnonzero(ids == group[0])[0]
+            gone[new[i] + 1 : new[i] + size[i]] = True
+            key, home = keys[new[i]].tobytes(), int(((keys[new[i]] >> U(32)) * U(n_buckets)) >> U(32))
+            out.append((n_buckets + int(keys[new[i]] % U(n_buckets)), key, None, None, group))
+            out.append((home, key, None, None, group[:1]))  # tells the key's own bucket
+        keys, rows = keys[~gone], rows[~gone]
+        bucket = ((keys >> U(32)) * U(n_buckets)) >> U(32)
+        short = keys.view(np.uint8).reshape(-1, 8)[:, :6]
+        rows = rows.astype(np.uint16 if len(ids) <= 65536 else np.uint32)
+        names = zlib.compress(np.diff(ids, prepend=0).tobytes(), 1)
         at, count = _runs(bucket)
-        rows = [(int(bucket[i]), keys[new[i : i + c]].tobytes(), least[i : i + c].tobytes(), None) for i, c in zip(at.tolist(), count.tolist())]
-        for i in np.flatnonzero(size > 1).tolist():
-            group = np.unique(docs[new[i] : new[i] + size[i]])
-            if len(group) > 1:
-                rows.append((n_buckets + int(bucket[i]), keys[new[i]].tobytes(), None, group))
-        for i in range(0, len(rows), 4000):
-            part = list(zip(*rows[i : i + 4000]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.list_(pa.int64()))], ["bucket", "keys", "docs", "members"])
-
-
-def equal_keys(key, table):
-    """The groups of a bucket: documents of different batches with the same key."""
-    if table.num_rows and table.column("docs").null_count:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
-        return pa.table([pa.array(keys), table.column("members").combine_chunks()], names=["key", "members"])
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), U)
-    docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order]
-    new, size = _runs(keys)
-    wide = np.repeat(size > 1, size)
-    keys, docs = keys[wide], docs[wide]
-    if not len(keys):
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))], names=["key", "members"])
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    new, size = _runs(keys)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((new, [len(keys)])), pa.int32()), pa.array(docs))
-    return pa.table([pa.array(keys[new].view(np.int64)), lists], names=["key", "members"])
+        out += [(int(bucket[i]), short[i : i + c].tobytes(), rows[i : i + c].tobytes(), names, None) for i, c in zip(at.tolist(), count.tolist())]
+        for i in range(0, len(out), 2000):
+            part = list(zip(*out[i : i + 2000]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), *(pa.array(part[k], pa.binary()) for k in (1, 2, 3)), pa.array(part[4], pa.list_(pa.int64()))], ["bucket", "keys", "rows", "ids", "members"])
+
+
+def equal_keys(n_buckets: int):
+    """The groups of a bucket. A group's key is a hash of its members, so the same group found by many
+    blocks is one; where a crowd may belong to it, it is the block's key."""
+
+    def run(key, table):
+        crowd = pc.is_valid(table.column("members"))
+        groups, crowds = table.filter(pc.invert(crowd)), table.filter(crowd)
+        crowded = np.frombuffer(b"".join(crowds.column("keys").to_pylist()), U)
+        if key[0].as_py() >= n_buckets:
+            return pa.table([pa.array(crowded.view(np.int64)), pa.array(crowds.column("members").to_pylist(), pa.list_(pa.int64()))], names=["key", "members"])
+        found = [pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))], names=["key", "members"])]
+        if groups.num_rows:
+            keys, docs = [], []
+            for k, r, names in zip(*(groups.column(c).to_pylist() for c in ("keys", "rows", "ids"))):
+                short = np.zeros((len(k) // 6, 8), np.uint8)
+                short[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
+                keys.append(short.view(U).ravel())
+                ids = np.cumsum(np.frombuffer(zlib.decompress(names), np.int64))
+                docs.append(ids[np.frombuffer(r, np.uint16 if len(r) * 3 == len(k) else np.uint32)])
+            keys, docs = np.concatenate(keys), np.concatenate(docs)
+            order = np.argsort(keys, kind="stable")
+            keys, docs = keys[order], docs[order]
+            new, size = _runs(keys)
+            wide = np.repeat(size > 1, size)
+            keys, docs = keys[wide], docs[wide]
+            if len(keys):
+                order = np.lexsort((docs, keys))
+                keys, docs = keys[order], docs[order]
+                new, size = _runs(keys)
+                same = np.add.reduceat(mix(docs.view(U) + U(11)), new)
+                crowded = np.unique(crowded)
+                for k in crowded:
+                    same[keys[new] == (k & U((1 << 48) - 1))] = k
+                _, first = np.unique(same, return_index=True)
+                parts = [docs[new[i] : new[i] + size[i]] for i in first.tolist()]
+                found.append(pa.table([pa.array(same[first].view(np.int64)), pa.array(parts, pa.list_(pa.int64()))], names=["key", "members"]))
+        return pa.concat_tables(found)
+
+    return run
 
 
 def _blobs(batches):
     """doc_id and its sorted set as bytes."""
-    shingler = Shingler()
+    shingler = encode.worker_wide(Shingler)
     for batch in batches:
         for a, data, ends in text_buffers(batch.column(1)):
             hashes, sizes = shingler.sets(data, ends)
@@ -342,19 +417,24 @@ def _limited(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, compared by their whole sets; written."""
-    ids, _ = common.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
+def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link; written. Sketches rule out most, the rest is compared by whole sets.
+
+    sketches: doc_id, n, sketch of every document.
+    """
+    left, right = (sketches.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    near, _ = common.written(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(lambda x: _near(x, num, den), "a long, b long"), "near")
+    ids, _ = common.written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
     sets, path = common.written(docs.join(_limited(ids), "doc_id").select("doc_id", "text").mapInArrow(_blobs, "doc_id long, hashes binary"), "sets", "uncompressed")
     right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "hb")
+    rows = near.join(right, "b").join(left, "a").select("a", "b", "ha", "hb")
     out, _ = common.written(rows.mapInArrow(lambda x: _linked(x, num, den), "a long, b long"), "links")
     common.delete(docs.sparkSession, path)
     return out
 
 
-def jaccard_groups(docs: DataFrame, *, similarity: tuple[int, int] = (4, 5), frequent_share: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, *, similarity: tuple[int, int] = (4, 5), frequent_share: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable by links.
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z in lower case. A text of fewer than 5
@@ -362,42 +442,55 @@ def jaccard_groups(docs: DataFrame, *, similarity: tuple[int, int] = (4, 5), fre
     another such text. Ids that are null or repeat: as in `common`. frequent_share: shingles in more
     than this share of documents are left out of the first sketches, never of a comparison.
     """
+    with common.arrow_batches(docs.sparkSession, 32):
+        return _jaccard_groups(docs, similarity, frequent_share, id_col, text_col)
+
+
+def _jaccard_groups(docs: DataFrame, similarity: tuple[int, int], frequent_share: float, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     num, den = similarity
     rows = common.keyed(docs, id_col, text_col)
     seen, _ = common.written(rows.mapInArrow(lambda x: digests(x, frequent_share), DIGESTS), "digests")
     documents = seen.where("not frequent").select("doc_id", "n", "x", "s")
+    sketches = seen.where("not frequent").select("doc_id", "n", "sketch")
     least = max(50, int(documents.count() * frequent_share))
     # shingles in that many documents: at most (average set) / frequent_share of them
     frequent = seen.where("frequent").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("x")
     frequent = np.sort(np.array([r[0] for r in frequent.collect()], np.int64).view(U))
-    classes = documents.where("n > 0").groupBy("n", "x", "s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # written, so that the join below is one that can part a class with very many copies
+    classes, _ = common.written(documents.where("n > 0").groupBy("n", "x", "s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "copied")
     member = documents.join(classes, ["n", "x", "s"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     member, _ = common.written(member, "classes")
 
-    bands, n_buckets = Bands(num, den), common.buckets(docs, 4)
-    packed = rows.mapInArrow(lambda x: packed_keys(x, bands, frequent, n_buckets), PACKED)
-    groups, _ = common.written(packed.groupBy("bucket").applyInArrow(equal_keys, GROUPS), "groups")
-    # ids of copies become their class's; what is one class only is done
-    held = groups.select("key", F.explode("members").alias("doc_id")).join(member, "doc_id").select("key", "rep", "n").distinct()
+    bands, n_buckets = Bands(num, den), common.buckets(docs, 12)
+    copies, _ = common.written(member.where("doc_id <> rep").select("doc_id"), "copies")
+    firsts = rows.join(_limited(copies), "doc_id", "left_anti")
+    packed = firsts.mapInArrow(lambda x: packed_keys(x, bands, frequent, n_buckets), PACKED)
+    groups, _ = common.written(packed.groupBy("bucket").applyInArrow(equal_keys(n_buckets), GROUPS), "groups")
+    held = groups.select("key", F.explode("members").alias("doc_id")).distinct().join(member, "doc_id").select("key", "rep", "n")
     held, _ = common.written(held, "held")
-    heads = held.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a")
+    # a group's head is the member that most groups have: of copies with changes, the least changed
+    degree = held.groupBy("rep").agg(F.count("*").alias("degree"))
+    heads = held.join(degree, "rep").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("rep").alias("a")))["a"].alias("head"), F.count("*").alias("members")).where("members > 1").select("key", "head")
+    pairs = held.join(heads, "key").where("head <> rep").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
     sized = member.where("doc_id = rep").select(F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    pairs = held.join(heads, "key").where("a < rep").select("a", F.col("rep").alias("b"), F.col("n").alias("nb")).distinct().join(sized, "a").where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b")
+    pairs = pairs.join(sized, "a").join(sized.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
     tested, _ = common.written(pairs, "pairs")
-    links = verified(tested, rows, num, den)
+    links = verified(tested, rows, sketches, num, den)
     found, _ = common.written(common.components(links, spark), "components")
 
     # equal blocks across components: compared pair by pair
     now = held.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = now.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
     part, _ = common.written(now.join(mixed, "key"), "mixed")
-    one, two = (part.select("key", *(F.col(c).alias(c + k) for c in ("rep", "n", "component"))) for k in "ab")
-    fits = (F.col("repa") < F.col("repb")) & (F.col("componenta") != F.col("componentb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    part = part.join(seen.where("not frequent").select(F.col("doc_id").alias("rep"), "fold"), "rep")
+    one, two = (part.select("key", *(F.col(c).alias(c + k) for c in ("rep", "n", "component", "fold"))) for k in "ab")
+    apart = reduce(add, (F.bit_count(F.get("folda", F.lit(i)).bitwiseXOR(F.get("foldb", F.lit(i)))) for i in range(FOLD // 64)))
+    fits = (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)) & (F.col("repa") < F.col("repb")) & (F.col("componenta") != F.col("componentb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     across = one.join(two, "key").where(fits).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     across, _ = common.written(across, "across")
     if across.limit(1).count():
-        more = verified(across, rows, num, den)
+        more = verified(across, rows, sketches, num, den)
         if more.limit(1).count():
             found = common.components(links.unionByName(more), spark)
     return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(common.id_out(), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "rep"), F.lit(common.NULL_ID)).alias("component_id"))
