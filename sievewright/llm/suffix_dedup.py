@@ -187,8 +187,7 @@ def _intervals(docs: np.ndarray, windows: np.ndarray) -> pa.Table:
 def radix_passes(data: bytes, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of data that start at `at`, in groups so far: those equal to another of their group
     through depth, and the groups they end in. One pass for each 8 bytes; what is alone leaves."""
-    view = np.frombuffer(data + bytes(8), np.uint8)
-    digits = np.ndarray((len(view) - 7,), ">u8", view, strides=(1,))
+    digits = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
     which = np.arange(len(at))
     for offset in range(0, depth, 8):
         place = at[which] + min(offset, depth - 8)
@@ -204,6 +203,30 @@ def radix_passes(data: bytes, at: np.ndarray, group: np.ndarray, depth: int) ->
     return which, group
 
 
+#: Windows whose digits a task holds at once; those of one key are never parted.
+WINDOWS = 400_000
+
+
+def _cut_windows(data: bytes, begin: np.ndarray, keys: np.ndarray, places: np.ndarray, docs: np.ndarray, starts: np.ndarray, many: np.ndarray, depth: int) -> pa.Table:
+    """Windows that are cut: equal to one that comes first. Entry i has many[i] windows, from byte
+    begin[i] on, the first starting at starts[i] of its document."""
+    entry = np.repeat(np.arange(len(many), dtype=np.int32), many)
+    step = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
+    place = places[entry] - step
+    order = np.lexsort((place, keys[entry]))
+    k, p = keys[entry][order], place[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
+    alone = new & np.concatenate((new[1:], [True]))
+    group, order = np.cumsum(new)[~alone], order[~alone]
+    del k, p, place, new, alone
+    which, group = radix_passes(data, begin[entry[order]] + step[order], group, depth)
+    which = order[which]
+    d, w = docs[entry[which]], starts[entry[which]] + step[which]
+    order = np.lexsort((w, d, group))
+    first = np.concatenate(([True], group[order][1:] != group[order][:-1])) if len(order) else np.empty(0, bool)
+    return _intervals(d[order[~first]], w[order[~first]])
+
+
 def further_digits(depth: int):
     def run(key, table):
         docs, starts, many = _joined(table, "docs", np.int64), _joined(table, "starts", np.int64), _joined(table, "many", np.uint8).astype(np.int64)
@@ -211,25 +234,20 @@ def further_digits(depth: int):
             return pa.table([pa.array(docs), pa.array(starts), pa.array(starts + many - 1)], names=["doc_id", "first", "last"])
         keys, places = _joined(table, "keys", np.int64), _joined(table, "places", np.uint8).astype(np.int64)
         data = b"".join(table.column("bytes").to_pylist())
-        size = many - 1 + depth
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        # windows: entry, byte where it begins, place of its least string
-        entry = np.repeat(np.arange(len(many)), many)
-        step = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
-        at = begin[entry] + step
-        place = places[entry] - step
-        order = np.lexsort((place, keys[entry]))
-        k, p = keys[entry][order], place[order]
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
-        alone = new & np.concatenate((new[1:], [True]))
-        group, order = np.cumsum(new)[~alone], order[~alone]
-        which, group = radix_passes(data, at[order], group, depth)
-        which = order[which]
-        d, w = docs[entry[which]], starts[entry[which]] + step[which]
-        order = np.lexsort((w, d, group))
-        first = np.concatenate(([True], group[order][1:] != group[order][:-1])) if len(order) else np.empty(0, bool)
-        gone = order[~first]
-        return _intervals(d[gone], w[gone])
+        begin = np.concatenate(([0], np.cumsum(many - 1 + depth)[:-1]))
+        del table
+        # keys are taken one after another, so many at a time that their windows fit into memory
+        order = np.argsort(keys, kind="stable")
+        total = np.cumsum(many[order])
+        new = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1], [True])))
+        gone, a = [], 0
+        while a < len(new) - 1:
+            before = total[new[a] - 1] if new[a] else 0
+            b = max(a + 1, int(np.searchsorted(total[new[1:] - 1], before + WINDOWS, "right")))
+            part = order[new[a] : new[b]]
+            gone.append(_cut_windows(data, begin[part], keys[part], places[part], docs[part], starts[part], many[part], depth))
+            a = b
+        return pa.concat_tables(gone)
 
     return run
 
@@ -279,6 +297,11 @@ def cut_repeats(docs: DataFrame, *, depth: int = 100, id_col: str = "doc_id", te
     """
     if not GRAM + 8 <= depth <= 256:
         raise ValueError(f"depth must be from {GRAM + 8} to 256")
+    with common.arrow_batches(docs.sparkSession, 16):
+        return _cut_repeats(docs, depth, id_col, text_col, with_kept)
+
+
+def _cut_repeats(docs: DataFrame, depth: int, id_col: str, text_col: str, with_kept: bool) -> DataFrame:
     rows = common.keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     sums, _ = common.written(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "digests")
     heads = sums.where(F.col("n_bytes") >= depth).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("sha", "rep")
