@@ -57,7 +57,6 @@ def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, *, ratio: f
     an empty one empty. The other lines stay as they are, joined by newlines. count_cols names two
     further columns for the lines before and the lines dropped.
     """
-    spark = pages.sparkSession
     bad, _ = common.written(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate")
     lists = bad.groupBy("host").agg(F.collect_list("line").alias("__bad")).withColumnRenamed("host", "__host")
     if bad.count() <= 1_000_000:
@@ -71,7 +70,6 @@ def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, *, ratio: f
         before = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(before)
         after = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__kept")).cast("long")
         more = {count_cols[0]: before, count_cols[1]: before - after}
-    del spark
     return joined.withColumns({**more, "__text": F.when(F.col("__bad").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))}).drop(text_col).withColumnRenamed("__text", text_col).drop("__bad", "__host", "__key", "__kept").select(*pages.columns, *more)
 
 

@@ -27,6 +27,12 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in packed} == set(text("benchmark_filter"))
 
 
+def test_near_duplicates_with_odd_rows(spark, docs, texts):
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    want = {i for i, (_, c) in groups(texts).items() if i == c}
+    assert {r.doc_id for r in kept} == want and None in want and 5 not in want
+
+
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
