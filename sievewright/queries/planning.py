@@ -238,3 +238,54 @@ def q_tail_limit(spark: SparkSession, sf: str) -> DataFrame:
     """The last rows of each log."""
     w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
     return table(spark, sf, "events").withColumn("n", F.row_number().over(w)).where("n <= 20").select("event_type", "event_id", F.col("n").cast("long").alias("n"))
+
+
+# more of plans and molecules ------------------------------------------------------------------------
+
+NUMBERS = {"H": 1, "C": 6, "N": 7, "O": 8, "S": 16}
+
+
+@query(f"""WITH {ATOMS_SQL} SELECT geom_id, CAST(sum(CASE symbol WHEN 'H' THEN 1 WHEN 'C' THEN 6 WHEN 'N' THEN 7 WHEN 'O' THEN 8 ELSE 16 END) - geom_id % 3 AS BIGINT) AS electrons,
+  (sum(CASE symbol WHEN 'H' THEN 1 WHEN 'C' THEN 6 WHEN 'N' THEN 7 WHEN 'O' THEN 8 ELSE 16 END) - geom_id % 3) % 2 <> (1 + geom_id % 2) % 2 AS parity_ok FROM atoms GROUP BY 1""")
+def q_parity_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Electrons of a molecule with this charge, and whether the multiplicity goes with them."""
+    n = F.sum(G.by_key({k: float(v) for k, v in NUMBERS.items()}, F.col("symbol"))).cast("long") - F.col("geom_id") % 3
+    rows = atoms(spark, sf).groupBy("geom_id").agg(n.alias("electrons"))
+    return rows.withColumn("parity_ok", F.col("electrons") % 2 != (1 + F.col("geom_id") % 2) % 2)
+
+
+@query(f"""WITH {ATOMS_SQL}, c AS (SELECT geom_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM atoms GROUP BY 1)
+  SELECT geom_id, idx, part, round(CASE part WHEN 0 THEN x - cx ELSE x - cx + 3.5 END, 6) AS x, round(y - cy, 6) AS y, round(z - cz, 6) AS z FROM atoms JOIN c USING (geom_id), (VALUES (0), (1)) p(part)""")
+def q_dimer(spark: SparkSession, sf: str) -> DataFrame:
+    """A molecule about its centroid and its copy moved along an axis."""
+    a = atoms(spark, sf)
+    centre = a.groupBy("geom_id").agg(*(F.avg(k).alias(f"c{k}") for k in "xyz"))
+    both = a.join(centre, "geom_id").withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    moved = F.col("x") - F.col("cx") + F.when(F.col("part") == 1, 3.5).otherwise(0.0)
+    return both.select("geom_id", "idx", "part", F.round(moved, 6).alias("x"), *(F.round(F.col(k) - F.col(f"c{k}"), 6).alias(k) for k in "yz"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_type ELSE 'any' END AS code, CASE WHEN p_size % 4 = 0 THEN p_size ELSE 2 END AS max_attempts FROM part")
+def q_normalize_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Three spellings of a rule in JSON brought to one."""
+    k = F.col("p_partkey") % 3
+    attempts = F.when(F.col("p_size") % 4 == 0, F.col("p_size"))
+    spelled = F.when(k == 0, F.to_json(F.struct(F.col("p_brand").alias("code"), attempts.alias("max_attempts")))).when(k == 1, F.to_json(F.struct(F.struct(F.col("p_type").alias("error_code")).alias("match"), attempts.alias("retries")))).otherwise(F.to_json(F.struct(attempts.alias("max_attempts"))))
+    get = lambda *paths: F.coalesce(*(F.get_json_object("rule", p) for p in paths))
+    return table(spark, sf, "part").select("p_partkey", spelled.alias("rule")).select("p_partkey", F.coalesce(get("$.code", "$.match.error_code"), F.lit("any")).alias("code"), F.coalesce(get("$.max_attempts", "$.retries").cast("int"), F.lit(2)).alias("max_attempts"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value * 2 AS b FROM events")
+def q_set_path(spark: SparkSession, sf: str) -> DataFrame:
+    """A nested field replaced in a copy; the others stay."""
+    s = F.struct(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.lit(0.0).alias("b")).alias("a"))
+    return table(spark, sf, "events").select("event_id", s.withField("a.b", F.col("value") * 2).alias("s")).select("event_id", F.col("s.a.k").alias("k"), F.col("s.a.b").alias("b"))
+
+
+@query(f"WITH n AS ({NODES}) SELECT plan, 'flowchart TD' || chr(10) || string_agg('  ' || pos || '[' || tool || ']', chr(10) ORDER BY pos, tool, id, kind) AS chart, count(*) FILTER (kind = 'tool') AS n_tool, count(DISTINCT tool) AS n_tools FROM n GROUP BY 1")
+def q_mermaid(spark: SparkSession, sf: str) -> DataFrame:
+    """A plan as flowchart text, and counts by kind."""
+    nodes = spark.sql(NODES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf, "lineitem"))
+    line = lambda x: F.concat(F.lit("  "), x["pos"].cast("string"), F.lit("["), x["tool"], F.lit("]"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "tool", "id", "kind"))), line)
+    return nodes.groupBy("plan").agg(F.concat(F.lit("flowchart TD\n"), F.array_join(lines, "\n")).alias("chart"), F.count_if(F.col("kind") == "tool").alias("n_tool"), F.count_distinct("tool").alias("n_tools"))
