@@ -10,6 +10,7 @@ from ..functions import geometry as G
 from ..plans import checks, references
 from ..plans.expressions import to_column
 from ..registry import query, table
+from .records import choose
 
 EXPR = "abs(l_extendedprice - 2 ** 3 * l_quantity) / sqrt(l_quantity + 1) + log(l_extendedprice) % 3 - -l_tax"
 
@@ -289,3 +290,19 @@ def q_mermaid(spark: SparkSession, sf: str) -> DataFrame:
     line = lambda x: F.concat(F.lit("  "), x["pos"].cast("string"), F.lit("["), x["tool"], F.lit("]"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "tool", "id", "kind"))), line)
     return nodes.groupBy("plan").agg(F.concat(F.lit("flowchart TD\n"), F.array_join(lines, "\n")).alias("chart"), F.count_if(F.col("kind") == "tool").alias("n_tool"), F.count_distinct("tool").alias("n_tools"))
+
+
+METALS, STATES, SHAPES, LIGANDS = ["Fe", "Co", "Ni", "Cu", "Mn", "Zn", "Cr", "X"], ["II", "3", "I", "2", "?"], ["oct", "sqp", "THD"], ["cn", "water cl", "en foo", "Cl", "nh3 h2o"]
+SPIN_INPUT = f"{choose('p_partkey', METALS)} AS metal, {choose('p_size', STATES)} AS ox, {choose('p_partkey + p_size', SHAPES)} AS shape, split({choose('p_partkey * 3 + p_size', LIGANDS)}, ' ') AS ligands"
+
+
+@query(f"""SELECT p_partkey, CAST(CASE WHEN d = 10 THEN 1 WHEN d = 9 THEN 2 WHEN d = 8 AND shape = 'sqp' THEN 1 WHEN d = 8 AND shape = 'THD' THEN 3 WHEN shape <> 'oct' THEN NULL WHEN d = 3 THEN 4
+  WHEN d = 4 THEN CASE WHEN strong THEN 3 ELSE 5 END WHEN d = 5 THEN CASE WHEN strong THEN 2 ELSE 6 END WHEN d = 6 THEN CASE WHEN strong THEN 1 ELSE 5 END WHEN d = 7 THEN CASE WHEN strong THEN 2 ELSE 4 END WHEN d = 8 THEN CASE WHEN strong THEN 1 ELSE 3 END END AS INT) AS multiplicity
+  FROM (SELECT p_partkey, shape, CASE metal WHEN 'Fe' THEN 8 WHEN 'Co' THEN 9 WHEN 'Ni' THEN 10 WHEN 'Cu' THEN 11 WHEN 'Mn' THEN 7 WHEN 'Zn' THEN 12 WHEN 'Cr' THEN 6 END - CASE ox WHEN 'II' THEN 2 WHEN '3' THEN 3 WHEN 'I' THEN 1 WHEN '2' THEN 2 END AS d,
+    ligands[1] IN ('cn', 'en', 'nh3') AS strong FROM (SELECT p_partkey, {SPIN_INPUT} FROM part))""")
+def q_auto_spin(spark: SparkSession, sf: str) -> DataFrame:
+    """Spin multiplicity from metal, oxidation state, geometry and ligands."""
+    from ..functions.spin import multiplicity
+
+    rows = spark.sql(f"SELECT p_partkey, {SPIN_INPUT} FROM {{part}}", part=table(spark, sf, "part"))
+    return rows.select("p_partkey", multiplicity(F.col("metal"), F.col("ox"), F.col("shape"), F.col("ligands")).alias("multiplicity"))
