@@ -99,8 +99,10 @@ def arrow_batches(spark: SparkSession, mb: int):
 
 
 def input_mb(df: DataFrame) -> float:
-    """The optimizer's estimate of a table's size; only partition counts follow from it."""
-    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / 1e6
+    """The optimizer's estimate of a table's size; only partition counts follow from it. Where it has
+    none (it then says some exabytes), 2 KB a row."""
+    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / 1e6
+    return size if size < 1e12 else df.count() * 2e-3
 
 
 def buckets(df: DataFrame, mb_each: float, least: int = 12) -> int:

@@ -11,12 +11,15 @@ tokenizers, go to the library whole, so the result is always the library's.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import os
 import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 #: White space and non-decimal numbers among the characters below U+0250.
 SPACE = "\\t-\\r \\x85\\xa0"
@@ -69,6 +72,14 @@ def worker_wide(make, *args):
     return _here[key]
 
 
+def release() -> None:
+    """Give memory that is free but still held back to the system: workers outlive their tasks, and an
+    executor's other worker and its JVM need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Known(dict):
     """Results by piece, `keep` at most. The frequent pieces come early, so a full table takes no more
     and stays as it is, unless a batch has most of its pieces not in it: then it starts anew."""
@@ -126,7 +137,7 @@ class Chunks(dict):
 class Encoder:
     """Texts to little-endian ids."""
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -293,6 +293,7 @@ def digests(batches, share: float):
             times = np.bincount(which, t, len(values)).astype(np.int64)
             often = times >= max(3, int(share * documents / 2))
             values, times = values[often], times[often]
+            encode.release()
             yield pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.array(times), pa.array(values.view(np.int64)), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.binary()), pa.nulls(len(values), pa.list_(pa.int64())), pa.array(np.ones(len(values), bool))], ["doc_id", "n", "x", "s", "sketch", "fold", "frequent"])
 
 
@@ -342,10 +343,13 @@ def packed_keys(batches, bands: Bands, frequent: np.ndarray, n_buckets: int):
         rows = rows.astype(np.uint16 if len(ids) <= 65536 else np.uint32)
         names = zlib.compress(np.diff(ids, prepend=0).tobytes(), 1)
         at, count = _runs(bucket)
+        del order, new, size
         out += [(int(bucket[i]), short[i : i + c].tobytes(), rows[i : i + c].tobytes(), names, None) for i, c in zip(at.tolist(), count.tolist())]
         for i in range(0, len(out), 2000):
             part = list(zip(*out[i : i + 2000]))
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), *(pa.array(part[k], pa.binary()) for k in (1, 2, 3)), pa.array(part[4], pa.list_(pa.int64()))], ["bucket", "keys", "rows", "ids", "members"])
+        del keys, rows, bucket, short, out
+        encode.release()
 
 
 def equal_keys(n_buckets: int):
@@ -384,6 +388,7 @@ def equal_keys(n_buckets: int):
                 _, first = np.unique(same, return_index=True)
                 parts = [docs[new[i] : new[i] + size[i]] for i in first.tolist()]
                 found.append(pa.table([pa.array(same[first].view(np.int64)), pa.array(parts, pa.list_(pa.int64()))], names=["key", "members"]))
+        encode.release()
         return pa.concat_tables(found)
 
     return run
@@ -442,7 +447,7 @@ def jaccard_groups(docs: DataFrame, *, similarity: tuple[int, int] = (4, 5), fre
     another such text. Ids that are null or repeat: as in `common`. frequent_share: shingles in more
     than this share of documents are left out of the first sketches, never of a comparison.
     """
-    with common.arrow_batches(docs.sparkSession, 32):
+    with common.arrow_batches(docs.sparkSession, 16):
         return _jaccard_groups(docs, similarity, frequent_share, id_col, text_col)
 
 

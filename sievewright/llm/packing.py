@@ -23,6 +23,10 @@ from . import common, encode
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Chunks of text that a worker remembers the ids of (some 250 bytes each).
+KEEP = 300_000
+
+
 class FreePlaces:
     """Tournament tree: each inner node has the most free places of any sequence below it."""
 
@@ -99,13 +103,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def tokens(batches):
-        enc = encode.worker_wide(encode.Encoder, tokenizer)
+        enc = encode.worker_wide(encode.Encoder, tokenizer, KEEP)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             for a, b in encode.slices(texts):
                 got = [x + end for x in enc.encode(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(got, pa.binary()), pa.array([enc.dtype.itemsize] * (b - a), pa.int32())], ["doc_id", "ids", "size"])
+            encode.release()
 
     def pack(key, table):
         table = table.sort_by("doc_id")

@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, encode
 from .ngram_join import Shingler, text_buffers
 
 FEATURES = ("log_bytes", "upper", "digit", "mark", "bar", "bang", "symbol", "beyond_ascii", "space", "word_length", "repeated_next", "distinct_words", "top_word", "distinct_lines", "line_length", "ended_lines")
 #: The characters counted by some of the features.
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "mark": b".,;:?'\"()-", "bar": b"|<>{}[]\\/=_~^", "bang": b"!", "symbol": b"#$%&*@+"}
-_shingler: list[Shingler] = []
 
 
 def _sums(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -34,8 +33,7 @@ def _sums(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def features(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A row of FEATURES for each text, from the bytes of many; an empty text has zeros."""
-    if not _shingler:
-        _shingler.append(Shingler())
+    shingler = encode.worker_wide(Shingler)
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
     size = np.maximum(ends - starts, 1).astype(float)
     cols = {"log_bytes": np.log1p(ends - starts)}
@@ -44,7 +42,7 @@ def features(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         is_in[list(chars)] = True
         cols[name] = _sums(is_in[data], starts, ends) / size
     cols["beyond_ascii"] = _sums(data >= 128, starts, ends) / size
-    words, first, last, begins, stops = _shingler[0].words(data, ends)
+    words, first, last, begins, stops = shingler.words(data, ends)
     n = np.maximum(last - first, 1).astype(float)
     letters = np.concatenate(([0], np.cumsum(stops - begins)))
     cols["space"] = 1 - (letters[last] - letters[first]) / size
@@ -198,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", sam
 
     # the sample has at most `sample` rows of 12 bytes
     rows = common.keyed(docs, id_col, text_col).join(F.broadcast(y), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>")
-    got = sorted(rows.collect())
+    with common.arrow_batches(docs.sparkSession, 32):
+        got = sorted(rows.collect())
     x = np.array([r[2] for r in got]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in got], float))
 
@@ -212,6 +211,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             for a, data, ends in text_buffers(batch.column(1)):
                 got = model.score(features(data, ends))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(got)), pa.array(got, pa.float64())], ["doc_id", "score"])
+            encode.release()
 
     rows = common.keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double").withColumn("doc_id", common.id_out())
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -220,6 +220,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with all their columns."""
     model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
-    bad, _ = common.written(score(docs, model, id_col=id_col, text_col=text_col, threshold=threshold).where("predicted = 0").select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("__bad")), "rejected")
+    with common.arrow_batches(docs.sparkSession, 32):
+        bad, _ = common.written(score(docs, model, id_col=id_col, text_col=text_col, threshold=threshold).where("predicted = 0").select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("__bad")), "rejected")
     right = F.broadcast(bad) if bad.count() <= 1_000_000 else bad
     return docs.join(right, F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)) == F.col("__bad"), "left_anti")

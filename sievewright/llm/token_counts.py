@@ -40,7 +40,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]], keep: int = 1_200_000):
+    def __init__(self, pieces: list[tuple[str, float]], keep: int = 600_000):
         import ahocorasick
 
         self.auto, self.table, self.too_long = ahocorasick.Automaton(), encode.Known(keep), []

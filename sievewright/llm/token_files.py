@@ -31,6 +31,10 @@ from . import common, encode
 BLOCK_SCHEMA = "shard int, block int, first long, bits int, n_ids long, doc_ids array<long>, doc_starts array<long>, payload binary"
 
 
+#: Chunks of text that a worker remembers the ids of (some 250 bytes each).
+KEEP = 1_000_000
+
+
 def width(vocabulary: int) -> int:
     """Bits of an id below `vocabulary`."""
     return max(1, int(vocabulary - 1).bit_length())
@@ -72,7 +76,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_col: st
     n = shards or common.buckets(docs, 12)
 
     def run(batches):
-        enc = encode.worker_wide(encode.Encoder, tokenizer)
+        enc = encode.worker_wide(encode.Encoder, tokenizer, KEEP)
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         ids, names, starts, held = [], [], [], 0
 
