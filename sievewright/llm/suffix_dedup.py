@@ -9,8 +9,9 @@ of equal suffixes left after the last pass are exactly the repeated windows.
   windows that have the same least string is one entry (an anchor and how far its windows reach), so
   some 3 entries stand for 100 suffixes. Anchors whose string is found once leave: of most texts
   nothing goes on.
-* Further digits. Anchors that are left go by their first digit to buckets, with the bytes that their
-  windows cover. There, each window is a suffix, and digits of 8 bytes split the groups until `depth`.
+* Second digit. Anchors that are left go to buckets with the bytes that their windows cover, by the
+  first digit and the bytes on the side of the string where a window has more of them.
+* Further digits. There, each window is a suffix, and digits of 8 bytes split the groups until `depth`.
   In a group the first occurrence stays and the others are cut.
 
 Whole copies of a text are found by a digest before that: all but the first are cut whole. What is
@@ -24,10 +25,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, encode
 from .ngram_join import BROADCAST_IDS, U, mix, text_buffers
 
 GRAM = 32
@@ -113,6 +115,7 @@ def first_digit(batches, depth: int, n_buckets: int):
         bucket[~first] += n_buckets
         order = np.argsort(bucket, kind="stable")
         yield from _packed(bucket[order], [x[order] for x in (h, docs, start.astype(np.int32) if start.max(initial=0) < 2**31 else start, many, place, known)], ["keys", "docs", "starts", "many", "places", "known"])
+        encode.release()
 
 
 def _joined(table, name: str, dtype):
@@ -135,44 +138,87 @@ CUTS = "doc_id long, first long, last long"
 
 
 def passages(batches, depth: int, n_buckets: int):
-    """The bytes that candidates' windows cover, by bucket of their hash. Of equal ones in a batch the
-    first goes there; the windows of the others are cut for sure (no bytes, buckets from n_buckets)."""
+    """The bytes that candidates' windows cover, by bucket of the next digit.
+
+    That digit: a window has at least half of what is left of `depth` on one side of its least string.
+    Windows of a candidate with the half on the left, and those with it on the right, go by a hash of
+    it and the string. So a line in very many documents is parted by what stands beside it.
+
+    Of equal ones in a batch the first goes there; the windows of the others are cut for sure (no
+    bytes, buckets from n_buckets).
+    """
+    import xxhash
+
+    left = (depth - GRAM) // 2
+    right = depth - GRAM - left + 1
     for batch in batches:
         first: dict[tuple, tuple[int, int]] = {}
         cut: list[tuple[int, int, int]] = []
         docs = batch.column(0).to_pylist()
         texts = batch.column(1).cast(pa.large_binary())
         found = batch.column(2)
-        for r, doc in enumerate(docs):
-            text = texts[r].as_py()
-            for x in found[r].as_py():
-                start, many = x["start"], x["many"]
-                what = (x["key"], x["place"], many, text[start : start + many - 1 + depth])
-                here = (doc, start)
-                seen = first.get(what)
-                if seen is None:
-                    first[what] = here
-                elif seen <= here:
-                    cut.append((doc, start, many))
-                else:
-                    first[what] = here
-                    cut.append((*seen, many))
+        sizes = pc.list_value_length(found).to_pylist()
+        flat = found.flatten()
+        keys, starts, many, places = (flat.field(i).to_pylist() for i in range(4))
+        at = 0
+        for doc, size, text in zip(docs, sizes, texts):
+            text = text.as_py()
+            for i in range(at, at + size):
+                key, start, n, place = keys[i], starts[i], many[i], places[i]
+                gram = start + place
+                seed = key & (2**64 - 1)
+                on_left = min(n, max(0, place - left + 1))
+                parts = []
+                if on_left:
+                    parts.append((xxhash.xxh64_intdigest(text[gram - left : gram], seed), place, on_left, start))
+                if on_left < n:
+                    parts.append((xxhash.xxh64_intdigest(text[gram + GRAM : gram + GRAM + right], seed ^ 1), place - on_left, n - on_left, start + on_left))
+                for digit, at_place, windows, begin in parts:
+                    what = (digit, at_place, windows, text[begin : begin + windows - 1 + depth])
+                    here = (doc, begin)
+                    seen = first.get(what)
+                    if seen is None:
+                        first[what] = here
+                    elif seen <= here:
+                        cut.append((doc, begin, windows))
+                    else:
+                        first[what] = here
+                        cut.append((*seen, windows))
+            at += size
+        del keys, starts, many, places
         if first:
-            rows = sorted((((((k & (2**64 - 1)) >> 32) * n_buckets) >> 32), k, place, text, many, doc, start) for (k, place, many, text), (doc, start) in first.items())
+            rows = sorted(((k >> 32) * n_buckets >> 32, k, place, text, n, doc, start) for (k, place, n, text), (doc, start) in first.items())
+            del first
             bucket = np.array([x[0] for x in rows])
             at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             stop = np.concatenate((at[1:], [len(rows)]))
             for i in range(0, len(at), 200):
                 part = [rows[a:b] for a, b in zip(at[i : i + 200], stop[i : i + 200])]
                 pack = lambda n, t: pa.array([np.array([x[n] for x in p], t).tobytes() for p in part], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at[i : i + 200]], pa.int64()), pack(1, np.int64), pack(5, np.int64), pack(6, np.int64), pack(4, np.uint8), pack(2, np.uint8), pa.array([b"".join(x[3] for x in p) for p in part], pa.binary())], ["bucket", "keys", "docs", "starts", "many", "places", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at[i : i + 200]], pa.int64()), pack(1, np.uint64), pack(5, np.int64), pack(6, np.int64), pack(4, np.uint8), pack(2, np.uint8), pa.array([b"".join(x[3] for x in p) for p in part], pa.binary())], ["bucket", "keys", "docs", "starts", "many", "places", "bytes"])
+            del rows
         if cut:
             c = np.array(cut, np.int64)
-            where = (mix(c[:, 0].astype(np.int64).view(U)) % U(n_buckets)).astype(np.int64) + n_buckets
+            doc, begin, end = _runs_of(c[:, 0], c[:, 1], c[:, 1] + c[:, 2] - 1)
+            where = (mix(doc.view(U)) % U(n_buckets)).astype(np.int64) + n_buckets
             order = np.argsort(where, kind="stable")
-            for rb in _packed(where[order], [c[order, 0], c[order, 1], c[order, 2].astype(np.uint8)], ["docs", "starts", "many"]):
+            for rb in _packed(where[order], [doc[order], begin[order], (end - begin + 1)[order]], ["docs", "starts", "many"]):
                 none = pa.nulls(rb.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([rb.column(0), none, rb.column(1), rb.column(2), rb.column(3), none, none], ["bucket", "keys", "docs", "starts", "many", "places", "bytes"])
+        encode.release()
+
+
+def _runs_of(docs: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals (included ends) of each document, joined where they touch or overlap."""
+    order = np.lexsort((first, docs))
+    d, a, b = docs[order], first[order], last[order]
+    # the furthest end so far in the document; documents are set apart by more than any end
+    step = int(b.max()) + 2
+    number = np.cumsum(np.concatenate(([0], d[1:] != d[:-1])))
+    reach = np.maximum.accumulate(b + number * step)
+    new = np.flatnonzero(np.concatenate(([True], a[1:] + number[1:] * step > reach[:-1] + 1)))
+    ends = np.concatenate((new[1:], [len(d)])) - 1
+    return d[new], a[new], reach[ends] - number[ends] * step
 
 
 def _intervals(docs: np.ndarray, windows: np.ndarray) -> pa.Table:
@@ -229,10 +275,12 @@ def _cut_windows(data: bytes, begin: np.ndarray, keys: np.ndarray, places: np.nd
 
 def further_digits(depth: int):
     def run(key, table):
-        docs, starts, many = _joined(table, "docs", np.int64), _joined(table, "starts", np.int64), _joined(table, "many", np.uint8).astype(np.int64)
+        docs, starts = _joined(table, "docs", np.int64), _joined(table, "starts", np.int64)
         if table.column("bytes").null_count:
+            many = _joined(table, "many", np.int64)
             return pa.table([pa.array(docs), pa.array(starts), pa.array(starts + many - 1)], names=["doc_id", "first", "last"])
-        keys, places = _joined(table, "keys", np.int64), _joined(table, "places", np.uint8).astype(np.int64)
+        many = _joined(table, "many", np.uint8).astype(np.int64)
+        keys, places = _joined(table, "keys", U), _joined(table, "places", np.uint8).astype(np.int64)
         data = b"".join(table.column("bytes").to_pylist())
         begin = np.concatenate(([0], np.cumsum(many - 1 + depth)[:-1]))
         del table
@@ -247,6 +295,7 @@ def further_digits(depth: int):
             part = order[new[a] : new[b]]
             gone.append(_cut_windows(data, begin[part], keys[part], places[part], docs[part], starts[part], many[part], depth))
             a = b
+        encode.release()
         return pa.concat_tables(gone)
 
     return run
@@ -304,17 +353,18 @@ def cut_repeats(docs: DataFrame, *, depth: int = 100, id_col: str = "doc_id", te
 def _cut_repeats(docs: DataFrame, depth: int, id_col: str, text_col: str, with_kept: bool) -> DataFrame:
     rows = common.keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     sums, _ = common.written(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "digests")
-    heads = sums.where(F.col("n_bytes") >= depth).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("sha", "rep")
+    # written, so that the join below is one that can part a text with very many copies
+    heads, _ = common.written(sums.where(F.col("n_bytes") >= depth).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("sha", "rep"), "heads")
     copies, _ = common.written(sums.join(heads, "sha").where("doc_id <> rep").select("doc_id"), "copies")
     n_buckets = common.buckets(docs, 4)
     work = _only(rows.where(F.octet_length("text") >= depth), copies, "left_anti")
 
     packed = work.mapInArrow(lambda x: first_digit(x, depth, n_buckets), FOUND)
-    again, _ = common.written(packed.groupBy("bucket").applyInArrow(repeated, CANDIDATES), "anchors")
+    again, _ = common.written(packed.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(repeated, CANDIDATES), "anchors")
     ids, _ = common.written(again.select("doc_id").distinct(), "ids")
     lists = again.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "many", "place")).alias("found"))
     bytes_of = _only(work, ids, "left_semi").join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda x: passages(x, depth, n_buckets), PASSAGES)
-    cuts, _ = common.written(bytes_of.groupBy("bucket").applyInArrow(further_digits(depth), CUTS), "cuts")
+    cuts, _ = common.written(bytes_of.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(further_digits(depth), CUTS), "cuts")
 
     ids, _ = common.written(cuts.select("doc_id").distinct(), "ids")
     lists = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
