@@ -164,7 +164,7 @@ def q_bond_check(spark: SparkSession, sf: str) -> DataFrame:
     return G.bond_check(G.bonds(atoms(spark, sf))).groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("ratio"), 6).alias("ratio"))
 
 
-@query("SELECT user_id % 10 AS compound, x, round(sum(value * 225.0 / ((x - k) * (x - k) + 225.0)), 4) AS y FROM (SELECT user_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) * 40 AS k FROM events WHERE event_type = 'click'), (SELECT 40.0 * unnest(range(0, 101)) AS x) GROUP BY 1, 2")
+@query("SELECT user_id % 10 AS compound, x, round(sum(value * 225.0 / ((x - k) * (x - k) + 225.0)), 4) AS y FROM (SELECT user_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) * 40 AS k FROM events WHERE event_type = 'click'), (SELECT CAST(40.0 AS DOUBLE) * unnest(range(0, 101)) AS x) GROUP BY 1, 2")
 def q_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks broadened on a grid."""
     peaks = table(spark, sf, "events").where("event_type = 'click'").select((F.col("user_id") % 10).alias("compound"), (F.get_json_object("props", "$.k").cast("double") * 40).alias("at"), "value")
@@ -198,7 +198,7 @@ def q_inputs_distinct(spark: SparkSession, sf: str) -> DataFrame:
 AXES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
-@query("SELECT n_nationkey, k AS site, round(x * (2 + n_regionkey * 0.1), 6) AS x, round(y * (2 + n_regionkey * 0.1), 6) AS y, round(z * (2 + n_regionkey * 0.1), 6) AS z FROM nation, (VALUES (0, 1, 0, 0), (1, -1, 0, 0), (2, 0, 1, 0), (3, 0, -1, 0), (4, 0, 0, 1), (5, 0, 0, -1)) a(k, x, y, z)")
+@query("SELECT n_nationkey, k AS site, round(CAST(x AS DOUBLE) * (2 + n_regionkey * 0.1), 6) AS x, round(CAST(y AS DOUBLE) * (2 + n_regionkey * 0.1), 6) AS y, round(CAST(z AS DOUBLE) * (2 + n_regionkey * 0.1), 6) AS z FROM nation, (VALUES (0, 1, 0, 0), (1, -1, 0, 0), (2, 0, 1, 0), (3, 0, -1, 0), (4, 0, 0, 1), (5, 0, 0, -1)) a(k, x, y, z)")
 def q_octahedron(spark: SparkSession, sf: str) -> DataFrame:
     """Six ligand places around each centre."""
     axes = F.posexplode(F.array(*(F.struct(*(F.lit(float(v)).alias(n) for v, n in zip(a, "xyz"))) for a in AXES))).alias("site", "v")
@@ -206,7 +206,7 @@ def q_octahedron(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", "n_regionkey", axes).select("n_nationkey", "site", *(F.round(F.col(f"v.{k}") * r, 6).alias(k) for k in "xyz"))
 
 
-@query("SELECT p_partkey, step, round(4.0 - step * 0.5, 6) AS distance FROM part, (SELECT unnest(range(0, 5)) AS step) WHERE p_partkey % 100 = 0")
+@query("SELECT p_partkey, step, round(CAST(4.0 AS DOUBLE) - step * CAST(0.5 AS DOUBLE), 6) AS distance FROM part, (SELECT unnest(range(0, 5)) AS step) WHERE p_partkey % 100 = 0")
 def q_approach(spark: SparkSession, sf: str) -> DataFrame:
     """A row generator: places along a path."""
     rows = table(spark, sf, "part").where("p_partkey % 100 = 0").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("step"))

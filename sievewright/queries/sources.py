@@ -64,7 +64,7 @@ def q_scan_targets(spark: SparkSession, sf: str) -> DataFrame:
     return chats.select("conv_id", S.chat_targets(F.col("messages"), "n string")["n"].alias("n")).where("n is not null")
 
 
-@query("SELECT p_partkey, 2 AS n_atoms, 'H' AS last_symbol, round(p_size * 1.0, 3) AS x FROM part")
+@query("SELECT p_partkey, 2 AS n_atoms, 'H' AS last_symbol, round(CAST(p_size AS DOUBLE), 3) AS x FROM part")
 def q_scan_xyz(spark: SparkSession, sf: str) -> DataFrame:
     """Atoms of XYZ texts, with a header and without; of trajectories the last frame."""
     tail = F.concat(F.lit("O 0.0 0.0 0.0\nH "), F.format_string("%.3f", F.col("p_size") * F.lit(1.0)), F.lit(" 0.0 1.0"))
