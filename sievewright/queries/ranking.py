@@ -83,7 +83,9 @@ def q_tiered_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """
     pool = R.floor_then_top(R.bm25(corpus(spark, sf), asked(spark, sf)), 5).select("query_id", "doc_id", "rank")
     known = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("known"))
-    rows = pool.join(similar(spark, sf, 0.0), ["query_id", "doc_id"], "left").join(known, "doc_id", "left")
+    sets = corpus(spark, sf).select("doc_id", F.array_distinct("tokens").alias("s"))
+    wanted = asked(spark, sf).select("query_id", F.array_distinct("tokens").alias("q"))
+    rows = pool.join(wanted, "query_id").join(sets, "doc_id").join(known, "doc_id", "left").withColumn("similarity", R.tanimoto("q", "s")).drop("q", "s")
     rows = rows.withColumn("similarity", F.when(F.col("known"), F.coalesce("similarity", F.lit(0.0))))
     return R.tiers(rows).where("place <= 5").select("query_id", "doc_id", F.col("tier").cast("long").alias("tier"), F.col("place").cast("long").alias("place"))
 
