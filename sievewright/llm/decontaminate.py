@@ -5,8 +5,9 @@ or 16 by the item's length; each window has a 64-bit SimHash, the bitwise majori
 hashes, counted in bit planes. Documents are cut into windows of the same sizes, each W words. Two
 fingerprints at most RADIUS bits apart agree in one of RADIUS + 1 blocks of 16 bits, so a join on
 blocks finds every pair within the radius. Each pair fixes where the item would lie in the document;
-there, as many words as the item has are compared with it by exact weighted 5-word shingles
-(weight: how often), and places with a similarity of 0.8 or more are reported.
+there, and at all places less than the item's length away where they share a 5-word shingle, as many
+words as the item has are compared with it by exact weighted 5-word shingles (weight: how often), and
+places with a similarity of 0.8 or more are reported.
 
 W follows from the similarity asked for (see window_size): a place with at least that similarity has
 a whole document window without any change, whose fingerprint is an item window's own, so no such
@@ -38,10 +39,17 @@ def words(text: Column) -> Column:
 
 
 def window_size(n: Column) -> Column:
-    """The largest of 16, 8, 4 with 2W - 1 <= n - changed, where a place 0.8 similar to n words can
-    have lost a ninth of its shingles at its ends; 1 for items too short for that."""
-    left = n - F.floor((n - (SHINGLE - 1)) / 9)
-    return F.when(left >= 31, 16).when(left >= 15, 8).when(left >= 7, 4).otherwise(1)
+    """The largest of 16, 8, 4 such that each place 0.8 similar to n words has a whole window; 1 for
+    items too short for that.
+
+    With N = n - 4 shingles in the item and M in the place (fewer where a document's end cuts it),
+    at most (5M - 4N) / 9 of the place's shingles are not the item's. A foreign word at an end costs
+    one of them, a break within the place (a word left out, a jump) at least four. Words with j breaks
+    hold a window for certain if there are (j + 2)W - 1 of them; the fewest are 4 + (36j + 4N) / 5,
+    and N is 36j or more. So 16 needs n >= 48, which a break decides; 8 needs n >= 17 and 4 needs
+    n >= 7, which a place that lost a fifth to the document's end decides.
+    """
+    return F.when(n >= 48, 16).when(n >= 17, 8).when(n >= 7, 4).otherwise(1)
 
 
 def _add(df: DataFrame, a: list[str], b: list[str], out: str) -> tuple[DataFrame, list[str]]:
@@ -95,11 +103,15 @@ def _rows(size: int, offset: Column, mark: Column) -> list[Column]:
     return [F.struct((F.lit((size * 8 + b) << BLOCK_BITS).cast("long") + F.shiftrightunsigned(mark, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))).alias("key"), offset.cast("int").alias("offset"), mark.alias("mark"), F.lit(size).alias("size")) for b in range(64 // BLOCK_BITS)]
 
 
-def _weighted(df: DataFrame, keys: list[str], words_col: str, weight: str) -> DataFrame:
-    """Each row's 5-word shingles and how often it has them; a shorter text is one shingle."""
+def _shingles(words_col: str) -> Column:
+    """The 5-word shingles in order; a shorter text is one shingle."""
     n = F.size(words_col)
-    each = F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(F.col(words_col), i, SHINGLE)))).when(n > 0, F.array(F.xxhash64(F.col(words_col))))
-    return df.select(*keys, F.explode(each).alias("shingle")).groupBy(*keys, "shingle").agg(F.count("*").alias(weight))
+    return F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(F.col(words_col), i, SHINGLE)))).when(n > 0, F.array(F.xxhash64(F.col(words_col))))
+
+
+def _weighted(df: DataFrame, keys: list[str], words_col: str, weight: str) -> DataFrame:
+    """Each row's shingles and how often it has them."""
+    return df.select(*keys, F.explode(_shingles(words_col)).alias("shingle")).groupBy(*keys, "shingle").agg(F.count("*").alias(weight))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -132,9 +144,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: tuple[int,
     few = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
     lengths = items.select("item_id", F.size("words").alias("length"))
     texts = pages.join(few, "doc_id").join(F.broadcast(lengths) if lengths.count() <= BROADCAST_ROWS else lengths, "item_id")
-    low = F.greatest(F.col("place"), F.lit(0))
-    cut = texts.withColumn("words", words(F.col("text"))).select("doc_id", "item_id", "place", F.slice("words", low + 1, F.col("length") + F.col("place") - low).alias("words"))
-    cut, _ = common.written(cut.withColumn("n_words", F.size("words").cast("long")), "passages")
+    low, length = F.greatest(F.col("place") - F.col("length") + 1, F.lit(0)), F.col("length")
+    wide = texts.withColumn("words", words(F.col("text"))).withColumn("low", low).select("doc_id", "item_id", F.col("place").alias("near"), "length", "low", F.slice("words", F.col("low") + 1, F.col("place") + 2 * length - 1 - F.col("low")).alias("wide"))
+    wide, _ = common.written(wide, "passages")
+    # a window beyond a break lies at another place than the best one, so all places of shared shingles are compared
+    known = items.select("item_id", F.posexplode(_shingles("words")).alias("item_at", "shingle"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    aligned = wide.select("doc_id", "item_id", "near", "length", "low", F.posexplode(_shingles("wide")).alias("at", "shingle")).join(known, ["item_id", "shingle"]).withColumn("place", F.col("at") + F.col("low") - F.col("item_at"))
+    aligned = aligned.where(F.abs(F.col("place") - F.col("near")) < length).select("doc_id", "item_id", "place", "near").unionByName(wide.select("doc_id", "item_id", F.col("near").alias("place"), "near"))
+    aligned = aligned.groupBy("doc_id", "item_id", "place").agg(F.min("near").alias("near"))
+    begin = F.greatest(F.col("place"), F.lit(0))
+    cut = aligned.join(wide, ["doc_id", "item_id", "near"]).select("doc_id", "item_id", "place", F.slice("wide", begin - F.col("low") + 1, length + F.col("place") - begin).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     here = _weighted(cut, ["doc_id", "item_id", "place", "n_words"], "words", "here")
     there = _weighted(items, ["item_id"], "words", "there")
     weights = there.groupBy("item_id").agg(F.sum("there").alias("item_weight"))

@@ -52,6 +52,20 @@ def test_leaks(spark, docs, texts, no_docs):
     assert decontaminate.find_leaks(df, bench.where("item_id < 0")).count() == 0
 
 
+def test_leaks_cut_by_the_documents_end(spark):
+    """At all starts: items that lost a fifth to the end, that lost a word there, and with a jump back inside a document."""
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in range(5, 61)}
+    ends = [(n, v[: 4 + -(-4 * (n - 4) // 5)], []) for n, v in items.items()]
+    ends += [(45, items[45][:a] + items[45][a + 1 :], []) for a in range(10, 40, 3)] + [(40, items[40][:a] + items[40][a - 4 : 36], ["end"] * 20) for a in range(10, 31, 4)]
+    texts = [(k, n, " ".join([*(f"q{i}" for i in range(start)), *words, *after])) for k, (n, words, start, after) in enumerate((n, w, s, after) for n, w, after in ends for s in range(16))]
+    df = spark.createDataFrame([(k, t) for k, _, t in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(v)) for n, v in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()}
+    for n, words, _ in ends:
+        assert leaks_by_hand({0: " ".join(words)}, {n: " ".join(items[n])})
+    assert got == {(k, n) for k, n, _ in texts}
+
+
 def test_fingerprint_blocks_find_all_within_radius():
     rng = random.Random(1)
     for _ in range(500):
