@@ -39,8 +39,8 @@ def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1, with_ids=False)
+    """Pieces of training sequences, with their ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
 STAGES = [("quality_filter", quality_filter), ("line_filter", line_filter), ("near_duplicates", near_duplicates), ("benchmark_filter", benchmark_filter), ("packed", packed)]

@@ -39,7 +39,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, with_ids=False)
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's stages, each on all that the one before kept, against brute force."""
 
 import importlib
+import zlib
 
 import corpus_pipeline
 from sievewright.llm import common
@@ -27,6 +28,11 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in packed} == set(text("benchmark_filter"))
 
 
+def test_packed_pieces_have_their_ids(spark, docs):
+    pieces = corpus_pipeline.packed(spark, docs, "").collect()
+    assert pieces and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in pieces)
+
+
 def test_near_duplicates_with_odd_rows(spark, docs, texts):
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     want = {i for i, (_, c) in groups(texts).items() if i == c}
