@@ -19,7 +19,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators; it sorts before all others.
@@ -46,10 +46,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one is set only where none is (tests)."""
+    """The shared folder of the session. Where none is set a session of one process gets a folder of its
+    own (tests); a cluster's is refused, as its machines share no folder that could be guessed."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="sievewright-")  # one process: what it sees is shared
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -107,7 +111,57 @@ def input_mb(df: DataFrame) -> float:
 
 def buckets(df: DataFrame, mb_each: float, least: int = 12) -> int:
     """How many buckets keep each near mb_each of input."""
-    return int(min(max(least, input_mb(df) / mb_each), 200_000))
+    return int(max(least, input_mb(df) / mb_each))
+
+
+#: Partitions of a shuffle by bucket. More buckets than that share partitions: a task takes several,
+#: one after another, so the size of what is in memory at once stays that of a bucket.
+MOST_PARTITIONS = 100_000
+
+
+def by_bucket(df: DataFrame, n_buckets: int) -> DataFrame:
+    """df dealt by its column bucket."""
+    return df.repartition(min(n_buckets, MOST_PARTITIONS), "bucket")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, changed where df has such columns already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """Columns by their literal names, dots included."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in (df.columns if names is None else names)]
+
+
+#: Up to so many ids (8 bytes each) are broadcast.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not among ids (one column, NULL_ID or null for null), with all their columns."""
+    (name,) = unused(docs, "__gone")
+    gone, _ = written(ids.select(F.coalesce(F.col(ids.columns[0]).cast("long"), F.lit(NULL_ID)).alias(name)).distinct(), "gone")
+    right = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(right, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col(name), "left_anti")
+
+
+def one_row_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each id: the one whose text counts (see above), of such rows the one with
+    the least values as JSON. Rows that share an id are reduced before they are shuffled."""
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id")
+    if not docs.select(ident).groupBy("id").count().where("count > 1").limit(1).count():
+        return docs
+    row = F.struct(*columns_of(docs))
+    order = F.struct(F.col(text_col).isNull(), F.col(text_col).cast("string"), F.to_json(row))
+    best = docs.select(ident, row.alias("row"), order.alias("order")).groupBy("id").agg(F.min_by("row", "order").alias("row"))
+    return best.select("row.*").toDF(*docs.columns)
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -166,9 +166,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: tuple[int,
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs whose document has no leak, with all their columns."""
-    leaks, _ = common.written(find_leaks(docs, benchmark, id_col=id_col, **options).select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("__leak")).distinct(), "leaks")
-    right = F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks
-    return docs.join(right, F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)) == F.col("__leak"), "left_anti")
+    leaks, _ = common.written(find_leaks(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), "leaks")
+    return common.without(docs, leaks, id_col)
 
 
 def oracle(docs: str = "documents", text: str = "text", name: str = "leaks") -> str:

@@ -36,6 +36,11 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+def _hashed(text: Column) -> Column:
+    """A hash for each line; null for blank ones."""
+    return F.transform(F.split(text, "\n"), lambda x: F.when(F.btrim(x, F.lit(EDGES)) != "", F.xxhash64(F.btrim(x, F.lit(EDGES)))))
+
+
 def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
     """host, line (hash), n_pages, host_pages of the lines that are boilerplate for their host.
 
@@ -44,33 +49,48 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = 0
     of the host's pages.
     """
     rows = pages.select(F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("host"), F.col(text_col).cast("string").alias("text"))
-    hashed = F.transform(F.split("text", "\n"), lambda x: F.when(F.btrim(x, F.lit(EDGES)) != "", F.xxhash64(F.btrim(x, F.lit(EDGES)))))
-    lines = rows.select("host", F.explode(F.array_distinct(hashed)).alias("line")).where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    lines = rows.select("host", F.explode(F.array_distinct(_hashed(F.col("text")))).alias("line")).where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
     totals = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
     return lines.join(totals, "host").where(F.col("n_pages") > F.lit(ratio) * F.col("host_pages"))
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, *, ratio: float = 0.05, min_pages: int = 5, count_cols: tuple[str, str] | None = None) -> DataFrame:
+#: Up to so many boilerplate lines (a host's name and 8 bytes each) are broadcast as lists by host.
+BROADCAST_LINES = 1_000_000
+
+
+def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, *, ratio: float = 0.05, min_pages: int = 5, count_cols: tuple[str, str] | None = None, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """`pages` with boilerplate lines cut from text_col; all other columns stay.
 
     Each row is a page, repeated rows too. A null host is a host of its own, a null text stays null,
     an empty one empty. The other lines stay as they are, joined by newlines. count_cols names two
-    further columns for the lines before and the lines dropped.
+    columns for the lines before and the lines dropped; columns of these names are replaced.
+
+    Beyond broadcast_lines the pages' hashed lines, not their texts, are joined by (host, line), which
+    can be split where a host or line is hot, and each page gets its own list back.
     """
+    names = pages.columns
     bad, _ = common.written(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate")
-    lists = bad.groupBy("host").agg(F.collect_list("line").alias("__bad")).withColumnRenamed("host", "__host")
-    if bad.count() <= 1_000_000:
-        lists = F.broadcast(lists)
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(F.btrim(x, F.lit(EDGES)))))
-    joined = pages.withColumn("__key", F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))).join(lists, F.col("__key") == F.col("__host"), "left")
-    joined = joined.withColumn("__kept", F.when(F.col("__bad").isNull(), F.split(F.col(text_col), "\n")).otherwise(kept))
+    key, gone, kept = common.unused(pages, "__key", "__gone", "__kept")
+    host, text = F.coalesce(F.col(host_col).cast("string"), F.lit("\0")), F.col(text_col).cast("string")
+    if bad.count() <= broadcast_lines:
+        lists = bad.groupBy(F.col("host").alias(key)).agg(F.collect_list("line").alias(gone))
+        joined = pages.join(F.broadcast(lists), host == F.col(key), "left")
+    else:
+        (page,) = common.unused(pages, "__page")
+        pages, _ = common.written(pages.withColumn(page, F.monotonically_increasing_id()), "numbered")
+        lines = pages.select(F.col(page).alias("page"), host.alias("host"), F.explode(F.array_distinct(_hashed(text))).alias("line")).where("line is not null")
+        lists, _ = common.written(lines.join(bad.select("host", "line").hint("merge"), ["host", "line"]).groupBy(F.col("page").alias(key)).agg(F.collect_list("line").alias(gone)), "lists")
+        joined = pages.join(lists, F.col(page) == F.col(key), "left")
+    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col(gone), F.xxhash64(F.btrim(x, F.lit(EDGES)))))
+    joined = joined.withColumn(kept, F.when(F.col(gone).isNull(), F.split(text, "\n")).otherwise(left))
+    new = {text_col.lower(): F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n")).alias(text_col)}
     more = {}
     if count_cols:
-        before = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long")
-        before = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(before)
-        after = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__kept")).cast("long")
+        before = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long")
+        after = F.when(text.isNull(), F.lit(0)).otherwise(F.size(kept)).cast("long")
         more = {count_cols[0]: before, count_cols[1]: before - after}
-    return joined.withColumns({**more, "__text": F.when(F.col("__bad").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))}).drop(text_col).withColumnRenamed("__text", text_col).drop("__bad", "__host", "__key", "__kept").select(*pages.columns, *more)
+    own = [c for c in names if c.lower() not in {m.lower() for m in more}]
+    return joined.select(*(new.get(c.lower(), col) for c, col in zip(own, common.columns_of(joined, own))), *(c.alias(n) for n, c in more.items()))
 
 
 def oracle_lines(source: str, host: str, text: str, ratio: float = 0.05, min_pages: int = 5) -> str:

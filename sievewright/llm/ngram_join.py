@@ -47,8 +47,6 @@ from . import common, encode
 WORDS = 5
 STAGES = 10
 U = np.uint64
-#: Up to so many ids (8 bytes each) are broadcast.
-BROADCAST_IDS = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -417,7 +415,7 @@ def _linked(batches, num: int, den: int):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
-def _limited(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+def _limited(df: DataFrame, most: int = common.BROADCAST_IDS) -> DataFrame:
     """df (written, narrow) for the small side of a join: broadcast only if it has few rows."""
     return F.broadcast(df) if df.count() <= most else df
 

@@ -193,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", sam
             for a, data, ends in text_buffers(batch.column(2)):
                 x = features(data, ends)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(x)), batch.column(1).slice(a, len(x)), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            encode.release()
 
     # the sample has at most `sample` rows of 12 bytes
     rows = common.keyed(docs, id_col, text_col).join(F.broadcast(y), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>")
@@ -221,6 +222,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     """The rows of docs that the classifier doesn't reject, with all their columns."""
     model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
     with common.arrow_batches(docs.sparkSession, 32):
-        bad, _ = common.written(score(docs, model, id_col=id_col, text_col=text_col, threshold=threshold).where("predicted = 0").select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("__bad")), "rejected")
-    right = F.broadcast(bad) if bad.count() <= 1_000_000 else bad
-    return docs.join(right, F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)) == F.col("__bad"), "left_anti")
+        bad, _ = common.written(score(docs, model, id_col=id_col, text_col=text_col, threshold=threshold).where("predicted = 0").select("doc_id"), "rejected")
+    return common.without(docs, bad, id_col)

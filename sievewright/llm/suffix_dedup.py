@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, encode
-from .ngram_join import BROADCAST_IDS, U, mix, text_buffers
+from .ngram_join import U, mix, text_buffers
 
 GRAM = 32
 CHUNK = 1 << 18
@@ -331,7 +331,7 @@ KEPT = "doc_id long, n_removed long, spans array<struct<first: long, after: long
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """docs with (left_semi) or without (left_anti) these ids (written), broadcast only if few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+    return docs.join(F.broadcast(ids) if ids.count() <= common.BROADCAST_IDS else ids, "doc_id", how)
 
 
 def cut_repeats(docs: DataFrame, *, depth: int = 100, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
