@@ -25,12 +25,10 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near duplicates the document with the smallest id, in one row."""
     groups = ngram_join.jaccard_groups(docs)
-    others = groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id")))
-    gone, _ = common.written(others.select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("__gone")), "near")
-    right = F.broadcast(gone) if gone.count() <= ngram_join.BROADCAST_IDS else gone
-    return docs.join(right, F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)) == F.col("__gone"), "left_anti")
+    others = groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id")
+    return common.one_row_each(common.without(docs, others))
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
