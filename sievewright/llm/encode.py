@@ -65,9 +65,14 @@ _here: dict[tuple, object] = {}
 
 
 def worker_wide(make, *args):
-    """make(*args), once for each Python worker: what it has learned serves the worker's later tasks."""
+    """make(*args), once for each Python worker: what it has learned serves the worker's later tasks.
+
+    A worker outlives its stage, so it keeps one such object: the next stage's replaces it.
+    """
     key = (make.__qualname__, *args)
     if key not in _here:
+        _here.clear()
+        release()
         _here[key] = make(*args)
     return _here[key]
 

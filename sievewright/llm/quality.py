@@ -190,14 +190,14 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", sam
 
     def run(batches):
         for batch in batches:
-            for a, data, ends in text_buffers(batch.column(2)):
+            for a, data, ends in text_buffers(batch.column(2), 1 << 19):
                 x = features(data, ends)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(x)), batch.column(1).slice(a, len(x)), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
             encode.release()
 
     # the sample has at most `sample` rows of 12 bytes
     rows = common.keyed(docs, id_col, text_col).join(F.broadcast(y), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>")
-    with common.arrow_batches(docs.sparkSession, 32):
+    with common.arrow_batches(docs.sparkSession, 8):
         got = sorted(rows.collect())
     x = np.array([r[2] for r in got]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in got], float))
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            for a, data, ends in text_buffers(batch.column(1)):
+            for a, data, ends in text_buffers(batch.column(1), 1 << 19):
                 got = model.score(features(data, ends))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(got)), pa.array(got, pa.float64())], ["doc_id", "score"])
             encode.release()
@@ -221,6 +221,6 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with all their columns."""
     model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
-    with common.arrow_batches(docs.sparkSession, 32):
+    with common.arrow_batches(docs.sparkSession, 8):
         bad, _ = common.written(score(docs, model, id_col=id_col, text_col=text_col, threshold=threshold).where("predicted = 0").select("doc_id"), "rejected")
     return common.without(docs, bad, id_col)
