@@ -7,6 +7,7 @@ A folder of Parquet files; each row is a block that ends with a document:
     shard int       blocks of a shard hold a range of doc_ids; shards ascend with doc_id
     block int       number in the shard, from 0
     first long      ids of the shard before the block
+    low long, high long   least and greatest doc_id; blocks ascend, so Parquet's statistics find a document's
     bits int        width of an id
     n_ids long      ids in the block
     doc_ids array<long>, doc_starts array<long>   each document's first id, from the block's start
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common, encode
 
-BLOCK_SCHEMA = "shard int, block int, first long, bits int, n_ids long, doc_ids array<long>, doc_starts array<long>, payload binary"
+BLOCK_SCHEMA = "shard int, block int, first long, low long, high long, bits int, n_ids long, doc_ids array<long>, doc_starts array<long>, payload binary"
 
 
 #: Chunks of text that a worker remembers the ids of (some 250 bytes each).
@@ -82,8 +83,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_col: st
 
         def row():
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([bits], pa.int32()), pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int64())), pa.array([pack(np.concatenate(ids), bits)], pa.binary())],
-                ["shard", "block", "first", "bits", "n_ids", "doc_ids", "doc_starts", "payload"],
+                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array(names[:1], pa.int64()), pa.array(names[-1:], pa.int64()), pa.array([bits], pa.int32()), pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int64())), pa.array([pack(np.concatenate(ids), bits)], pa.binary())],
+                ["shard", "block", "first", "low", "high", "bits", "n_ids", "doc_ids", "doc_starts", "payload"],
             )
 
         end = np.array([end_id], "<u4")
@@ -138,12 +139,21 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(small, "shard").select(common.id_out(), (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard", "block")
 
 
-def token_range(spark: SparkSession, path: str, doc_id: int, start: int = 0, n: int | None = None) -> np.ndarray:
-    """ids [start, start + n) of one document: one block is read, and of it only the bytes of those ids."""
-    row = read(spark, path).where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select("bits", "n_ids", "doc_ids", "doc_starts", "payload").first()
+def blocks_of(spark: SparkSession, path: str, doc_id: int | None) -> DataFrame:
+    """The block that holds a document. The conditions on low and high reach the Parquet reader, whose
+    statistics leave out all files, row groups and pages without it."""
+    key = F.lit(common.NULL_ID if doc_id is None else doc_id).cast("long")
+    return read(spark, path).where((F.col("low") <= key) & (F.col("high") >= key)).where(F.array_contains("doc_ids", key))
+
+
+def token_range(spark: SparkSession, path: str, doc_id: int | None, start: int = 0, n: int | None = None) -> np.ndarray:
+    """ids [start, start + n) of one document: one block is found, and of it only the bytes of those ids
+    are unpacked. KeyError if there is no such document."""
+    row = blocks_of(spark, path, doc_id).select("bits", "n_ids", "doc_ids", "doc_starts", "payload").first()
     if row is None:
         raise KeyError(doc_id)
-    k = row["doc_ids"].index(doc_id)
+    k = row["doc_ids"].index(common.NULL_ID if doc_id is None else doc_id)
     low, high = row["doc_starts"][k], (*row["doc_starts"][1:], row["n_ids"])[k]
-    count = high - low - start if n is None else min(n, high - low - start)
+    start = min(max(start, 0), high - low)
+    count = high - low - start if n is None else max(0, min(n, high - low - start))
     return unpack(row["payload"], row["bits"], low + start, count)
