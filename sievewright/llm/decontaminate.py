@@ -1,20 +1,22 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Words are runs of letters and numbers in lower case. Each item has windows of W words, W being 4, 8
-or 16 by the item's length; each window has a 64-bit SimHash, the bitwise majority of its words'
-hashes, counted in bit planes. Documents are cut into windows of the same sizes, each W words. Two
-fingerprints at most RADIUS bits apart agree in one of RADIUS + 1 blocks of 16 bits, so a join on
-blocks finds every pair within the radius. Each pair fixes where the item would lie in the document;
-there, and at all places less than the item's length away where they share a 5-word shingle, as many
-words as the item has are compared with it by exact weighted 5-word shingles (weight: how often), and
-places with a similarity of 0.8 or more are reported.
-
-W follows from the similarity asked for (see window_size): a place with at least that similarity has
-a whole document window without any change, whose fingerprint is an item window's own, so no such
-place is missed.
+Words are runs of letters and numbers in lower case. Each item has windows of W words, W following
+from its length; each window has a 64-bit SimHash, the bitwise majority of its words' hashes, counted
+in bit planes. Documents are cut into windows of the same sizes, each W words. Two fingerprints at
+most RADIUS bits apart agree in one of RADIUS + 1 blocks of 16 bits, so a join on blocks finds every
+pair within the radius. Each pair fixes where the item would lie in the document; there, and at all
+places less than the item's length away where they share a 5-word shingle, as many words as the item
+has are compared with it by exact weighted 5-word shingles (weight: how often), and places with a
+similarity of 0.8 or more are reported.
+
+A SimHash of a window as long as the item gives no such guarantee: one changed word in fifty moves
+more bits than a radius can take that still parts texts. So W is the largest size for which a place
+with at least that similarity has a whole document window without any change (see window_size), whose
+fingerprint is an item window's own; no place is missed. Of items of up to eight words such a place
+has all shingles, and their windows are shingles (or, if shorter, the item), at every word of a document.
 
 Only the benchmark's fingerprints are broadcast, and only when they are counted and few; otherwise
-the same join shuffles.
+the same join shuffles. A document's words are cut once, whatever the number of its places.
 """
 
 from __future__ import annotations
@@ -38,18 +40,22 @@ def words(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def window_size(n: Column) -> Column:
-    """The largest of 16, 8, 4 such that each place 0.8 similar to n words has a whole window; 1 for
-    items too short for that.
+#: Window sizes of short items; such windows begin at every word and their mark is a plain hash.
+SHORT = (1, 2, 3, 4, 5)
+
+
+def window_kind(n: Column) -> Column:
+    """The windows of an item of n words: 16, 8 or 4 words long, or SHORT[k] for kind -SHORT[k].
 
     With N = n - 4 shingles in the item and M in the place (fewer where a document's end cuts it),
     at most (5M - 4N) / 9 of the place's shingles are not the item's. A foreign word at an end costs
     one of them, a break within the place (a word left out, a jump) at least four. Words with j breaks
     hold a window for certain if there are (j + 2)W - 1 of them; the fewest are 4 + (36j + 4N) / 5,
     and N is 36j or more. So 16 needs n >= 48, which a break decides; 8 needs n >= 17 and 4 needs
-    n >= 7, which a place that lost a fifth to the document's end decides.
+    n >= 7, which a place that lost a fifth to the document's end decides. Up to n = 8 nothing may be
+    lost, so a place has all the item's shingles.
     """
-    return F.when(n >= 48, 16).when(n >= 17, 8).when(n >= 7, 4).otherwise(1)
+    return F.when(n >= 48, 16).when(n >= 17, 8).when(n >= 9, 4).otherwise(-F.least(n, F.lit(SHINGLE)))
 
 
 def _add(df: DataFrame, a: list[str], b: list[str], out: str) -> tuple[DataFrame, list[str]]:
@@ -76,31 +82,36 @@ def _majority(planes: list[str]) -> Column:
     return F.col(planes[-1]).bitwiseOR(F.col(planes[-2]).bitwiseAND(low))
 
 
-def fingerprints(df: DataFrame, sizes: list[int]) -> tuple[DataFrame, dict[int, list[tuple[int, str]]]]:
-    """SimHashes of the windows in words[at : at + 16] (columns words, at) whose size is in sizes.
+def fingerprints(df: DataFrame, kinds: list[int]) -> tuple[DataFrame, dict[int, list[tuple[int, str]]]]:
+    """Marks of the windows that begin in words[at : at + CHUNK] (columns words, at), by kind.
 
-    Also the (offset, column) of each size's windows.
+    Also the (offset, column) of each kind's windows.
     """
-    keep = df.columns
-    df = df.withColumns({f"w{k}": F.xxhash64(F.get("words", F.col("at") + k)) for k in range(CHUNK)})
-    planes = {(1, k): [f"w{k}"] for k in range(CHUNK)}
+    keep, sizes = df.columns, [k for k in kinds if k > 0]
+    planes = {}
+    if sizes:
+        df = df.withColumns({f"w{k}": F.xxhash64(F.get("words", F.col("at") + k)) for k in range(CHUNK)})
+        planes = {(1, k): [f"w{k}"] for k in range(CHUNK)}
     size = 1
-    while size < max(sizes):
+    while size < max(sizes, default=0):
         for k in range(0, CHUNK, 2 * size):
             df, planes[2 * size, k] = _add(df, planes[size, k], planes[size, k + size], f"p{2 * size}_{k}")
         size *= 2
     found: dict[int, list[tuple[int, str]]] = {}
     marks = {}
-    for w in sizes:
-        for k in range(0, CHUNK, w):
-            marks[f"f{w}_{k}"] = F.col(f"w{k}") if w == 1 else _majority(planes[w, k])
-            found.setdefault(w, []).append((k, f"f{w}_{k}"))
+    for w in kinds:
+        for k in range(0, CHUNK, max(w, 1)):
+            name = f"f{w}_{k}".replace("-", "s")
+            marks[name] = _majority(planes[w, k]) if w > 0 else F.xxhash64(F.slice("words", F.col("at") + k + 1, -w))
+            found.setdefault(w, []).append((k, name))
     return df.select(*keep, *(c.alias(n) for n, c in marks.items())), found
 
 
-def _rows(size: int, offset: Column, mark: Column) -> list[Column]:
-    """A struct for each block of a fingerprint; `key` tells size, block and its bits."""
-    return [F.struct((F.lit((size * 8 + b) << BLOCK_BITS).cast("long") + F.shiftrightunsigned(mark, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))).alias("key"), offset.cast("int").alias("offset"), mark.alias("mark"), F.lit(size).alias("size")) for b in range(64 // BLOCK_BITS)]
+def _rows(kind: int, offset: Column, mark: Column) -> list[Column]:
+    """A struct for each block of a fingerprint; `key` tells kind, block and its bits. Equal plain
+    hashes agree in any block, so one does."""
+    tag = kind if kind > 0 else 32 - kind
+    return [F.struct((F.lit((tag * 8 + b) << BLOCK_BITS).cast("long") + F.shiftrightunsigned(mark, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))).alias("key"), offset.cast("int").alias("offset"), mark.alias("mark"), F.lit(kind).alias("kind")) for b in range(64 // BLOCK_BITS if kind > 0 else 1)]
 
 
 def _shingles(words_col: str) -> Column:
@@ -121,36 +132,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: tuple[int,
     A place is as long as the item, cut at the document's ends. Null and empty texts have no words
     and match nothing; ids that are null or repeat: as in `common`, for items too.
     """
-    items = common.keyed(benchmark, item_col, item_text_col).select(F.col("doc_id").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("size", window_size(F.size("words")))
+    if similarity[0] * 5 < similarity[1] * 4:
+        raise ValueError("windows are made for similarities of 0.8 and more")
+    items = common.keyed(benchmark, item_col, item_text_col).select(F.col("doc_id").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("kind", window_kind(F.size("words")))
     items, _ = common.written(items, "items")
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # of 1, 4, 8 and 16
+    kinds = sorted(r[0] for r in items.select("kind").distinct().collect())  # of 16, 8, 4 and SHORT
     pages = common.keyed(docs, id_col, text_col)
-    if not sizes:
+    if not kinds:
         return pages.join(items.select("item_id"), F.lit(False)).select("doc_id", "item_id", *(F.lit(0).cast("long").alias(c) for c in ("start_word", "n_words", "shared", "total")), F.lit(0.0).alias("similarity"))
-    starts = items.select("item_id", F.col("size").alias("own"), "words", F.explode(F.when(F.col("size") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("words") - F.col("size")))).alias("at"))
-    marked, found = fingerprints(starts, sizes)
-    blocks = [x for w in sizes for x in _rows(w, F.lit(0), F.col(found[w][0][1]))]
-    known = marked.select("item_id", "at", "own", F.inline(F.array(*blocks))).where("size = own").select("key", "item_id", F.col("at").alias("item_at"), F.col("mark").alias("item_mark"))
+    starts = items.select("item_id", F.col("kind").alias("own"), "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.abs("kind"))).alias("at"))
+    marked, found = fingerprints(starts, kinds)
+    blocks = [x for w in kinds for x in _rows(w, F.lit(0), F.col(found[w][0][1]))]
+    known = marked.select("item_id", "at", "own", F.inline(F.array(*blocks))).where("kind = own").select("key", "item_id", F.col("at").alias("item_at"), F.col("mark").alias("item_mark"))
     known, _ = common.written(known, "fingerprints")
     chunks = pages.select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("n", F.size("words")).select("doc_id", "words", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK))).alias("at"))
-    marked, found = fingerprints(chunks, sizes)
-    blocks = [x for w in sizes for k, name in found[w] for x in _rows(w, F.lit(k), F.col(name))]
-    windows = marked.select("doc_id", "n", "at", F.inline(F.array(*blocks))).where(F.col("at") + F.col("offset") + F.col("size") <= F.col("n"))
+    marked, found = fingerprints(chunks, kinds)
+    blocks = [x for w in kinds for k, name in found[w] for x in _rows(w, F.lit(k), F.col(name))]
+    windows = marked.select("doc_id", "n", "at", F.inline(F.array(*blocks))).where(F.col("at") + F.col("offset") + F.abs("kind") <= F.col("n"))
     right = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    near = windows.join(right, "key").where(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= RADIUS)
+    near = windows.join(right, "key").where(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= F.when(F.col("kind") > 0, RADIUS).otherwise(0))
     places = near.select("doc_id", "item_id", (F.col("at") + F.col("offset") - F.col("item_at")).alias("place")).distinct()
     places, _ = common.written(places, "places")
 
-    few = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
     lengths = items.select("item_id", F.size("words").alias("length"))
-    texts = pages.join(few, "doc_id").join(F.broadcast(lengths) if lengths.count() <= BROADCAST_ROWS else lengths, "item_id")
-    low, length = F.greatest(F.col("place") - F.col("length") + 1, F.lit(0)), F.col("length")
-    wide = texts.withColumn("words", words(F.col("text"))).withColumn("low", low).select("doc_id", "item_id", F.col("place").alias("near"), "length", "low", F.slice("words", F.col("low") + 1, F.col("place") + 2 * length - 1 - F.col("low")).alias("wide"))
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    lists, _ = common.written(places.join(few(lengths), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", F.col("place").alias("near"), "length")).alias("found")), "places-of")
+    texts = pages.join(few(lists), "doc_id").select("doc_id", words(F.col("text")).alias("words"), "found")
+    length = F.col("length")
+    wide = texts.select("doc_id", "words", F.inline("found")).withColumn("low", F.greatest(F.col("near") - length + 1, F.lit(0)))
+    wide = wide.select("doc_id", "item_id", "near", "length", "low", F.slice("words", F.col("low") + 1, F.col("near") + 2 * length - 1 - F.col("low")).alias("wide"))
     wide, _ = common.written(wide, "passages")
     # a window beyond a break lies at another place than the best one, so all places of shared shingles are compared
     known = items.select("item_id", F.posexplode(_shingles("words")).alias("item_at", "shingle"))
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    aligned = wide.select("doc_id", "item_id", "near", "length", "low", F.posexplode(_shingles("wide")).alias("at", "shingle")).join(known, ["item_id", "shingle"]).withColumn("place", F.col("at") + F.col("low") - F.col("item_at"))
+    aligned = wide.select("doc_id", "item_id", "near", "length", "low", F.posexplode(_shingles("wide")).alias("at", "shingle")).join(few(known), ["item_id", "shingle"]).withColumn("place", F.col("at") + F.col("low") - F.col("item_at"))
     aligned = aligned.where(F.abs(F.col("place") - F.col("near")) < length).select("doc_id", "item_id", "place", "near").unionByName(wide.select("doc_id", "item_id", F.col("near").alias("place"), "near"))
     aligned = aligned.groupBy("doc_id", "item_id", "place").agg(F.min("near").alias("near"))
     begin = F.greatest(F.col("place"), F.lit(0))
