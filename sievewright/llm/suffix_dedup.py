@@ -10,7 +10,10 @@ of equal suffixes left after the last pass are exactly the repeated windows.
   some 3 entries stand for 100 suffixes. Anchors whose string is found once leave: of most texts
   nothing goes on.
 * Second digit. Anchors that are left go to buckets with the bytes that their windows cover, by the
-  first digit and the bytes on the side of the string where a window has more of them.
+  first digit and the bytes on the side of the string where a window has more of them. Where one
+  string has very many anchors (a passage in a large part of all documents), its windows are parted
+  by more bytes, those on both sides that all windows of a range have, so that what differs in the
+  text around the passage goes to different buckets.
 * Further digits. There, each window is a suffix, and digits of 8 bytes split the groups until `depth`.
   In a group the first occurrence stays and the others are cut.
 
@@ -95,7 +98,8 @@ def _packed(bucket: np.ndarray, cols: list[np.ndarray], names: list[str]):
 
 def first_digit(batches, depth: int, n_buckets: int):
     """Anchors by bucket of their hash. Of those with one hash in a batch only the first goes there,
-    marked; the others are known to be candidates and go to buckets from n_buckets on."""
+    marked; the others are known to be candidates, so they meet no one and go to buckets from n_buckets
+    on by their document."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         got = []
@@ -112,7 +116,7 @@ def first_digit(batches, depth: int, n_buckets: int):
         last = np.concatenate((first[1:], [True]))
         known = np.where(first, (~last).astype(np.uint8), 2).astype(np.uint8)
         bucket = (((h >> U(32)) * U(n_buckets)) >> U(32)).astype(np.int64)
-        bucket[~first] += n_buckets
+        bucket[~first] = n_buckets + (mix(docs[~first].astype(np.int64).view(U)) % U(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         yield from _packed(bucket[order], [x[order] for x in (h, docs, start.astype(np.int32) if start.max(initial=0) < 2**31 else start, many, place, known)], ["keys", "docs", "starts", "many", "places", "known"])
         encode.release()
@@ -137,20 +141,32 @@ PASSAGES = "bucket long, keys binary, docs binary, starts binary, many binary, p
 CUTS = "doc_id long, first long, last long"
 
 
-def passages(batches, depth: int, n_buckets: int):
-    """The bytes that candidates' windows cover, by bucket of the next digit.
+#: Anchors of one string from which on its windows are parted by more bytes.
+CROWD = 1000
+
+
+def ranges(depth: int, crowded: bool) -> list[tuple[int, int]]:
+    """Ranges (least, most) of the bytes that a window has left of its least string: two halves, or,
+    for crowded strings, ranges that get narrower towards both ends. All windows of a range have
+    `least` bytes left of the string and depth - GRAM - most right of it; those are the digit."""
+    room = depth - GRAM
+    edges = {0, room // 2, room + 1}
+    if crowded:
+        steps = [1 << k for k in range(8) if 1 << k < room // 2]
+        edges |= {*steps, *(room + 1 - x for x in steps)}
+    edges = sorted(edges)
+    return [(a, b - 1) for a, b in zip(edges[:-1], edges[1:])]
 
-    That digit: a window has at least half of what is left of `depth` on one side of its least string.
-    Windows of a candidate with the half on the left, and those with it on the right, go by a hash of
-    it and the string. So a line in very many documents is parted by what stands beside it.
+
+def passages(batches, depth: int, n_buckets: int):
+    """The bytes that candidates' windows cover, by bucket of the next digit (see ranges).
 
     Of equal ones in a batch the first goes there; the windows of the others are cut for sure (no
     bytes, buckets from n_buckets).
     """
     import xxhash
 
-    left = (depth - GRAM) // 2
-    right = depth - GRAM - left + 1
+    room, parted = depth - GRAM, {c: ranges(depth, c) for c in (False, True)}
     for batch in batches:
         first: dict[tuple, tuple[int, int]] = {}
         cut: list[tuple[int, int, int]] = []
@@ -159,7 +175,7 @@ def passages(batches, depth: int, n_buckets: int):
         found = batch.column(2)
         sizes = pc.list_value_length(found).to_pylist()
         flat = found.flatten()
-        keys, starts, many, places = (flat.field(i).to_pylist() for i in range(4))
+        keys, starts, many, places, crowds = (flat.field(i).to_pylist() for i in range(5))
         at = 0
         for doc, size, text in zip(docs, sizes, texts):
             text = text.as_py()
@@ -167,12 +183,12 @@ def passages(batches, depth: int, n_buckets: int):
                 key, start, n, place = keys[i], starts[i], many[i], places[i]
                 gram = start + place
                 seed = key & (2**64 - 1)
-                on_left = min(n, max(0, place - left + 1))
                 parts = []
-                if on_left:
-                    parts.append((xxhash.xxh64_intdigest(text[gram - left : gram], seed), place, on_left, start))
-                if on_left < n:
-                    parts.append((xxhash.xxh64_intdigest(text[gram + GRAM : gram + GRAM + right], seed ^ 1), place - on_left, n - on_left, start + on_left))
+                for k, (least, most) in enumerate(parted[crowds[i]]):
+                    high, low = min(place, most), max(place - n + 1, least)
+                    if low <= high:
+                        digit = xxhash.xxh64_intdigest(text[gram - least : gram] + text[gram + GRAM : gram + GRAM + room - most], seed ^ k)
+                        parts.append((digit, high, high - low + 1, start + place - high))
                 for digit, at_place, windows, begin in parts:
                     what = (digit, at_place, windows, text[begin : begin + windows - 1 + depth])
                     here = (doc, begin)
@@ -185,7 +201,7 @@ def passages(batches, depth: int, n_buckets: int):
                         first[what] = here
                         cut.append((*seen, windows))
             at += size
-        del keys, starts, many, places
+        del keys, starts, many, places, crowds
         if first:
             rows = sorted(((k >> 32) * n_buckets >> 32, k, place, text, n, doc, start) for (k, place, n, text), (doc, start) in first.items())
             del first
@@ -360,11 +376,13 @@ def _cut_repeats(docs: DataFrame, depth: int, id_col: str, text_col: str, with_k
     work = _only(rows.where(F.octet_length("text") >= depth), copies, "left_anti")
 
     packed = work.mapInArrow(lambda x: first_digit(x, depth, n_buckets), FOUND)
-    again, _ = common.written(packed.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(repeated, CANDIDATES), "anchors")
+    again, _ = common.written(common.by_bucket(packed, n_buckets).groupBy("bucket").applyInArrow(repeated, CANDIDATES), "anchors")
     ids, _ = common.written(again.select("doc_id").distinct(), "ids")
-    lists = again.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "many", "place")).alias("found"))
+    crowds, _ = common.written(again.groupBy("key").count().where(F.col("count") >= CROWD).select("key", F.lit(True).alias("crowd")), "crowds")
+    told = again.join(F.broadcast(crowds) if crowds.count() <= common.BROADCAST_IDS else crowds, "key", "left")
+    lists = told.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "many", "place", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("found"))
     bytes_of = _only(work, ids, "left_semi").join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda x: passages(x, depth, n_buckets), PASSAGES)
-    cuts, _ = common.written(bytes_of.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(further_digits(depth), CUTS), "cuts")
+    cuts, _ = common.written(common.by_bucket(bytes_of, n_buckets).groupBy("bucket").applyInArrow(further_digits(depth), CUTS), "cuts")
 
     ids, _ = common.written(cuts.select("doc_id").distinct(), "ids")
     lists = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
