@@ -1,12 +1,12 @@
 """Packing documents into training sequences: first-fit decreasing in randomised groups.
 
-Documents are dealt to groups by a hash of their id, some `group_docs` to a group, and each group is
+Documents are dealt to groups by a hash of their id, some `group_bytes` of text to a group, and each group is
 packed on its own: whole sequences are cut from documents that are longer; what remains of each is
 placed, longest first, into the first sequence with room for it. The first one with room is found in
 a tournament tree over the sequences' free places, in the logarithm of their number. At the end the
 emptiest sequences of the group are dissolved and cut up into the gaps of the others, so all of a
-group's sequences together have fewer free places than one has places. A group is bounded by its number of documents, so a task holds
-a few MB whatever the corpus.
+group's sequences together have fewer free places than one has places. A document with more text than
+that is a group of its own, so a task holds a group or one document, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def plan(tokens: list[int], capacity: int) -> list[tuple[int, int, int, int, int
     return pieces
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = 2048, group_docs: int = 2000, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = 2048, group_bytes: int = 8 << 20, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     Every whole text is encoded and gets end_id; null and empty texts are end_id alone. ids (binary,
@@ -99,7 +99,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
     groups, not dense. Ids that repeat, nulls and empty tables: as in `common`.
     """
     rows = common.keyed(docs, id_col, text_col)
-    groups = max(1, rows.count() // group_docs)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    groups = max(1, (rows.agg(F.sum(size)).first()[0] or 0) // group_bytes)
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def tokens(batches):
@@ -109,7 +110,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
             keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             for a, b in encode.slices(texts):
                 got = [x + end for x in enc.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(got, pa.binary()), pa.array([enc.dtype.itemsize] * (b - a), pa.int32())], ["doc_id", "ids", "size"])
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(got, pa.binary()), pa.array([enc.dtype.itemsize] * (b - a), pa.int32()), batch.column(2).slice(a, b - a)], ["doc_id", "ids", "size", "long_one"])
             encode.release()
 
     def pack(key, table):
@@ -123,8 +124,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
         names = [c.split()[0] for c in PIECES.split(", ")]
         if with_ids:
             out, names = [*out, pa.array([x.tobytes() for x in parts], pa.binary())], [*names, "ids"]
+        encode.release()
         return pa.table(out, names=names)
 
-    dealt = rows.mapInArrow(tokens, "doc_id long, ids binary, size int").withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)))
+    # a hash of the id deals documents to groups 0 to groups - 1, and long ones to numbers above
+    spread = F.xxhash64(F.lit(seed), "doc_id")
+    group = F.when(F.col("long_one"), groups + F.pmod(spread, F.lit(1 << 36))).otherwise(F.pmod(spread, F.lit(groups)))
+    ids = rows.withColumn("long_one", size > group_bytes).mapInArrow(tokens, "doc_id long, ids binary, size int, long_one boolean")
+    dealt = ids.select("doc_id", "ids", "size", group.alias("group")).repartition(min(max(12, groups // 4), common.MOST_PARTITIONS), "group")
     out = dealt.groupBy("group").applyInArrow(pack, schema)
     return out.withColumn("doc_id", common.id_out())
