@@ -19,6 +19,24 @@ from . import common
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def forked_pairs(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: str = "assistant") -> DataFrame:
+    """pair_id, chosen, turn, role, text: pairs of conversations that fork, made from single ones.
+
+    Pair k's chosen conversation is 2k. The rejected one is the same up to its last turn of the
+    trained role (the last such turn number), which is replaced by the first reply of conversation
+    2k + 1 (the least text of its least such number) and ends it. Where 2k has no such turn or 2k + 1
+    no reply, 2k + 1 itself is the rejected one. Rows without a conversation are left out.
+    """
+    rows = turns.where(F.col(conv_col).isNotNull()).select(F.floor(F.col(conv_col) / 2).cast("long").alias("pair_id"), (F.pmod(F.col(conv_col), F.lit(2)) == 0).alias("first"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    said = (F.col("role") == trained) & F.col("turn").isNotNull()
+    marks = rows.groupBy("pair_id").agg(F.max(F.when(F.col("first") & said, F.col("turn"))).alias("last"), F.min(F.when(~F.col("first") & said, F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))["text"].alias("reply"))
+    forks = F.col("last").isNotNull() & F.col("reply").isNotNull()
+    marks = marks.select("pair_id", F.when(forks, F.col("last")).alias("last"), F.when(forks, F.col("reply")).alias("reply"))
+    sides = F.when(F.col("first"), F.when(F.col("turn") < F.col("last"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).when(F.col("last").isNull(), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>"))
+    both = rows.join(marks, "pair_id").select("pair_id", F.explode(sides).alias("chosen"), "turn", "role", "text")
+    return both.unionByName(marks.where("last is not null").select("pair_id", F.lit(False).alias("chosen"), F.col("last").alias("turn"), F.lit(trained).alias("role"), F.col("reply").alias("text")))
+
+
 def format_pairs(turns: DataFrame, *, pair_col: str = "pair_id", side_col: str = "chosen", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: str = "assistant") -> DataFrame:
     """pair_id, status, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask.
 
@@ -27,10 +45,11 @@ def format_pairs(turns: DataFrame, *, pair_col: str = "pair_id", side_col: str =
     Status: "pair"; "equal" if both say the same throughout (empty completions); "chosen only" or
     "rejected only" if the other side has no row, and then the prompt is empty and all of the
     conversation is completion. Turns go by their number, then role and text; a row that is repeated
-    counts once; a null number sorts first, null roles and texts are empty. Pairs with a null id are
-    one pair.
+    counts once; a null number sorts first, null roles and texts are empty. Rows without a pair id
+    belong to no pair and are left out, as are sides that are null.
     """
-    rows = turns.select(F.coalesce(F.col(pair_col).cast("long"), F.lit(common.NULL_ID)).alias("pair_id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(common.NULL_ID)).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(side_col).cast("boolean").alias("is_chosen"))
+    turns = turns.where(F.col(pair_col).isNotNull() & F.col(side_col).isNotNull())
+    rows = turns.select(F.col(pair_col).cast("long").alias("pair_id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(common.NULL_ID)).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(side_col).cast("boolean").alias("is_chosen"))
     said = rows.groupBy("pair_id", "turn", "role", "text").agg(F.coalesce(F.bool_or("is_chosen"), F.lit(False)).alias("in_chosen"), F.coalesce(F.bool_or(~F.col("is_chosen")), F.lit(False)).alias("in_rejected"))
     both = F.col("in_chosen") & F.col("in_rejected")
     # the prompt ends before the first turn number at which any message is on one side only
@@ -43,7 +62,7 @@ def format_pairs(turns: DataFrame, *, pair_col: str = "pair_id", side_col: str =
         "no": F.filter("turns", lambda x: x["in_rejected"] & ~shared(x)),
     })
     status = F.when(~F.col("any_rejected"), "chosen only").when(~F.col("any_chosen"), "rejected only").when(F.col("fork").isNull(), "equal").otherwise("pair")
-    return pairs.select(common.id_out("pair_id"), status.alias("status"), F.size("head").cast("long").alias("n_prompt_turns"), _text("head").alias("prompt"), _text("yes").alias("chosen"), _mask("yes", trained).alias("chosen_mask"), _text("no").alias("rejected"), _mask("no", trained).alias("rejected_mask"))
+    return pairs.select("pair_id", status.alias("status"), F.size("head").cast("long").alias("n_prompt_turns"), _text("head").alias("prompt"), _text("yes").alias("chosen"), _mask("yes", trained).alias("chosen_mask"), _text("no").alias("rejected"), _mask("no", trained).alias("rejected_mask"))
 
 
 def _one(x: Column) -> Column:
@@ -68,7 +87,7 @@ def _mask(col: str, trained: str) -> Column:
 
 
 def oracle() -> str:
-    """DuckDB: conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
+    """DuckDB: the pairs that forked_pairs makes of the table conversations."""
     one = f"'{OPEN}' || role || chr(10) || text || '{CLOSE[:-1]}' || chr(10)"
     head = f"length('{OPEN}' || role || chr(10))"
     parts = []
@@ -77,7 +96,14 @@ def oracle() -> str:
           coalesce(string_agg(CASE WHEN role = 'assistant' THEN (at0 + {head}) || '-' || (at0 + {head} + length(text) + {len(CLOSE) - 1}) END, ',' ORDER BY turn, role, text), '') AS mask
           FROM (SELECT *, coalesce(sum(length(one)) OVER (PARTITION BY pair_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at0
             FROM (SELECT s.*, {one} AS one FROM said s JOIN forks USING (pair_id) WHERE in_{side} AND fork IS NOT NULL AND turn >= fork)) GROUP BY pair_id)""")
-    return f"""WITH said AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, bool_or(conv_id % 2 = 0) AS in_chosen, bool_or(conv_id % 2 <> 0) AS in_rejected FROM conversations GROUP BY ALL),
+    return f"""WITH cv AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS first, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+      mk AS (SELECT pair_id, max(turn) FILTER (first AND role = 'assistant') AS last, arg_min(coalesce(text, ''), (turn, coalesce(text, ''))) FILTER (NOT first AND role = 'assistant' AND turn IS NOT NULL) AS reply FROM cv GROUP BY 1),
+      ok AS (SELECT * FROM mk WHERE last IS NOT NULL AND reply IS NOT NULL),
+      sd AS (SELECT pair_id, true AS chosen, turn, role, text FROM cv WHERE first
+        UNION ALL SELECT pair_id, false, turn, role, text FROM cv JOIN ok USING (pair_id) WHERE first AND turn < last
+        UNION ALL SELECT pair_id, false, last, 'assistant', reply FROM ok
+        UNION ALL SELECT pair_id, false, turn, role, text FROM cv WHERE NOT first AND pair_id NOT IN (SELECT pair_id FROM ok)),
+      said AS (SELECT pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, bool_or(chosen) AS in_chosen, bool_or(NOT chosen) AS in_rejected FROM sd GROUP BY ALL),
       forks AS (SELECT pair_id, min(turn) FILTER (NOT (in_chosen AND in_rejected)) AS fork, bool_or(in_chosen) AS c, bool_or(in_rejected) AS j FROM said GROUP BY 1),
       heads AS (SELECT pair_id, count(*) AS n, string_agg({one}, '' ORDER BY turn, role, text) AS prompt FROM said JOIN forks USING (pair_id) WHERE fork IS NULL OR turn < fork GROUP BY 1),
       {', '.join(parts)}

@@ -44,9 +44,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
-    turns = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
-    return preferences.format_pairs(turns)
+    """Pairs made of two conversations each, that say the same up to a last reply."""
+    return preferences.format_pairs(preferences.forked_pairs(table(spark, sf_dir, "conversations")))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
