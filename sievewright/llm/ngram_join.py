@@ -469,7 +469,7 @@ def _jaccard_groups(docs: DataFrame, similarity: tuple[int, int], frequent_share
     copies, _ = common.written(member.where("doc_id <> rep").select("doc_id"), "copies")
     firsts = rows.join(_limited(copies), "doc_id", "left_anti")
     packed = firsts.mapInArrow(lambda x: packed_keys(x, bands, frequent, n_buckets), PACKED)
-    groups, _ = common.written(packed.groupBy("bucket").applyInArrow(equal_keys(n_buckets), GROUPS), "groups")
+    groups, _ = common.written(common.by_bucket(packed, n_buckets).groupBy("bucket").applyInArrow(equal_keys(n_buckets), GROUPS), "groups")
     held = groups.select("key", F.explode("members").alias("doc_id")).distinct().join(member, "doc_id").select("key", "rep", "n")
     held, _ = common.written(held, "held")
     # a group's head is the member that most groups have: of copies with changes, the least changed
