@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Centres of a codebook at most; the driver holds a count for each cell of the grid (its square).
+MOST_CENTRES = 1024
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
@@ -129,7 +133,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, recall: float =
     member, _ = common.written(whole.join(classes, "v").select("vec_id", "rep", "weight"), "members")
     total = classes.count()
     got = classes.select("v").orderBy(F.xxhash64("v")).limit(sample).toArrow()
-    index = Index(unit(matrix(got.column("v"))), int(min(256, max(4, (total / 16) ** 0.5))), cosine, recall)
+    index = Index(unit(matrix(got.column("v"))), int(min(MOST_CENTRES, max(4, (total / 16) ** 0.5))), cosine, recall)
 
     def place(batches):
         for batch in batches:
@@ -138,7 +142,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, recall: float =
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("weight"), batch.column("v"), pa.array(index.cells(x), pa.int64())], ["rep", "weight", "v", "cell"])
 
     placed, _ = common.written(classes.select("rep", "weight", "v").mapInArrow(place, "rep long, weight long, v array<double>, cell long"), "cells")
-    # at most 256 * 256 cells: consecutive ones share a block, a crowded one has several
+    # at most MOST_CENTRES ** 2 cells: consecutive ones share a block, a crowded one has several
     first = np.zeros(index.grid[0] * index.grid[1] + 1, np.int64)
     parts = np.ones(len(first) - 1, np.int64)
     now = held = 0
@@ -174,10 +178,9 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, recall: float =
 
     looking, _ = common.written(classes.select("rep", "v").mapInArrow(look, "block long, rep long, v array<double>, cells array<int>"), "looking")
     crowd = looking.groupBy("block").count().withColumn("shares", F.ceil(F.col("count") / block)).select("block", "shares")
-    owned = F.create_map(*[x for c in np.flatnonzero(parts > 1).tolist() for x in (F.lit(c), F.lit(int(parts[c])))]) if (parts > 1).any() else None
-    starts = spark.createDataFrame([(c, int(first[c])) for c in counts], "cell long, start long")
-    held_in = placed.join(F.broadcast(starts), "cell")  # as many rows as cells, 65536 at most
-    within = F.pmod(F.xxhash64("rep"), F.coalesce(owned[F.col("cell")], F.lit(1))) if owned is not None else F.lit(0)
+    starts = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in counts], "cell long, start long, parts long")
+    held_in = placed.join(F.broadcast(starts), "cell")  # a row for each cell in use
+    within = F.pmod(F.xxhash64("rep"), F.col("parts"))
     held_in = held_in.withColumn("block", F.col("start") + within).join(crowd, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "rep", "weight", "v", F.array(F.col("cell").cast("int")).alias("cells"), F.lit(True).alias("own"))
     come = looking.join(crowd, "block").select("block", F.pmod(F.xxhash64("rep"), "shares").alias("share"), "rep", F.lit(0).cast("long").alias("weight"), "v", "cells", F.lit(False).alias("own"))
 
