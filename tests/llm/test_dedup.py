@@ -128,6 +128,23 @@ def test_suffix_dedup(docs, no_docs, texts, depth):
         assert suffix_dedup.cut_repeats(no_docs).count() == 0
 
 
+def test_suffix_dedup_with_a_crowd(spark, monkeypatch):
+    """A passage in many documents, with other text, the same text, or a few bytes in common around it."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, edge = text(150), text(60)
+    texts = {i: text(rng.randint(0, 150)) + (edge[-rng.randint(1, 60) :] if i % 3 else "") + passage + (edge[: rng.randint(1, 60)] if i % 2 else "") + text(rng.randint(0, 120)) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for crowd in (2, 1000):
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut_repeats(df).collect()}
+        assert got == cut_by_hand(texts, 100)
+    for depth in (40, 100, 256):
+        for crowded in (False, True):
+            parts = suffix_dedup.ranges(depth, crowded)
+            assert [x for a, b in parts for x in range(a, b + 1)] == list(range(depth - suffix_dedup.GRAM + 1))
+
+
 def test_radix_passes():
     rng = random.Random(3)
     data = bytes(rng.choice(b"ab") for _ in range(4000)) * 2
@@ -151,6 +168,11 @@ def test_line_dedup(spark):
     assert (1, "h", "line 1\n\nshared1", 5, 2) in by and (0, "h", "line 0", 2, 1) in by  # 11 of 13 pages have Menu, shared0 is on 5
     assert {(20, "h", None, 0, 0), (21, "h", "", 1, 0), (22, None, "Menu\nx", 2, 0), (23, "small", "Menu\nown", 2, 0)} <= by
     assert line_dedup.drop_boilerplate(df.where("page_id < 0"), "host", "body").count() == 0
+    clash = df.selectExpr("*", "1 as __key", "2 as __bad", "3 as __gone", "4 as __kept", "5 as __page", "6 as dropped", "7 as `a.b`")
+    for most in (1000, 0):  # with lists by host, and with lines joined by host and line
+        again = line_dedup.drop_boilerplate(clash, "host", "body", ratio=0.5, min_pages=5, count_cols=("before", "dropped"), broadcast_lines=most)
+        assert sorted(again.columns) == sorted([*(c for c in clash.columns if c != "dropped"), "before", "dropped"])
+        assert {(r.page_id, r.host, r.body, r.before, r.dropped) for r in again.collect()} == by and {r["a.b"] for r in again.collect()} == {7}
 
 
 def test_html_text(spark):

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sievewright.llm import decontaminate, preferences, quality
 
@@ -93,10 +94,27 @@ def test_preferences(spark):
     assert (got[2].status, got[2].n_prompt_turns, got[2].chosen, got[2].chosen_mask) == ("equal", 1, "", "")
     assert (got[3].status, got[3].chosen, got[3].rejected) == ("chosen only", one(u, "only"), "")
     assert (got[4].status, got[4].rejected_mask != "") == ("rejected only", True)
-    assert (got[5].n_prompt_turns, got[5].chosen, got[None].status, got[6].rejected) == (1, one(a, ""), "pair", one(a, "w"))
+    assert (got[5].n_prompt_turns, got[5].chosen, got[6].rejected) == (1, one(a, ""), one(a, "w"))
+    assert None not in got  # rows without a pair id belong to no pair
     assert preferences.format_pairs(df.where("pair_id < 0")).count() == 0
 
 
+def test_pairs_that_fork(spark, sf):
+    u, a = "user", "assistant"
+    rows = [(0, 0, u, "q"), (0, 1, a, "one"), (0, 2, u, "more"), (0, 3, a, "two"), (0, 4, u, "bye"), (1, 0, u, "other"), (1, 1, a, "reply"), (1, 3, a, "later")]
+    rows += [(2, 0, u, "no answer"), (3, 0, u, "x"), (3, 1, a, "y"), (4, 0, a, "hi"), (5, 0, u, "silent"), (6, 0, a, "alone"), (None, 0, a, "lost"), (0, 1, a, "one")]
+    df = spark.createDataFrame([(*r, True) for r in rows], "conv_id long, turn long, role string, text string, chosen boolean")
+    got = {}
+    for r in preferences.forked_pairs(df).collect():
+        got.setdefault((r.pair_id, r.chosen), set()).add((r.turn, r.role, r.text))
+    assert got[0, True] == {(r[1], r[2], r[3]) for r in rows if r[0] == 0}
+    assert got[0, False] == {(0, u, "q"), (1, a, "one"), (2, u, "more"), (3, a, "reply")}
+    assert got[1, False] == {(0, u, "x"), (1, a, "y")} and got[2, False] == {(0, u, "silent")} and (3, False) not in got and (None, True) not in got
+    done = preferences.format_pairs(preferences.forked_pairs(spark.read.parquet(f"{sf}/conversations.parquet"))).collect()
+    forks = [r for r in done if r.n_prompt_turns > 0]
+    assert len(forks) > 0.6 * len(done) and all(r.prompt and r.chosen != r.rejected for r in forks)
+
+
 def test_features_whole_and_in_parts(texts):
     data = [(t or "").encode() for t in texts.values()]
     whole = quality.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data]))
@@ -106,6 +124,57 @@ def test_features_whole_and_in_parts(texts):
     assert np.isclose(repeated[quality.FEATURES.index("repeated_next")], 3 / 5) and np.isclose(repeated[quality.FEATURES.index("top_word")], 4 / 5)
 
 
+def test_features_by_hand(texts):
+    """Every feature of every text counted one character, word and line at a time."""
+    digits, upper = set(b"0123456789"), set(range(65, 91))
+    for t in [*texts.values(), "Hello, WORLD! 12|<3>\n\nsame same\nsame same same.\n tail #1"]:
+        b = (t or "").encode()
+        got = dict(zip(quality.FEATURES, quality.features(np.frombuffer(b, np.uint8), np.array([len(b)]))[0]))
+        size = max(len(b), 1)
+        low = bytes(c + 32 if c in upper else c for c in b)
+        words = re.findall(rb"[^ \t-\r]+", low)
+        lines = [w for w in (re.findall(rb"[^ \t-\r]+", x) for x in low.split(b"\n")) if w]
+        n = max(len(words), 1)
+        want = {"log_bytes": np.log1p(len(b)), "upper": sum(c in upper for c in b) / size, "digit": sum(c in digits for c in b) / size, "mark": sum(c in b".,;:?'\"()-" for c in b) / size, "bar": sum(c in b"|<>{}[]\\/=_~^" for c in b) / size, "bang": b.count(b"!") / size, "symbol": sum(c in b"#$%&*@+" for c in b) / size, "beyond_ascii": sum(c > 127 for c in b) / size}
+        want |= {"space": 1 - sum(map(len, words)) / size, "word_length": sum(map(len, words)) / n, "repeated_next": sum(x == y for x, y in zip(words, words[1:])) / n}
+        if words:
+            want |= {"distinct_words": len(set(words)) / n * np.sqrt(n), "top_word": Counter(words).most_common(1)[0][1] / n, "distinct_lines": len({tuple(sorted(x)) for x in lines}) / len(lines), "line_length": np.log1p(n / len(lines)), "ended_lines": np.mean([x[-1][-1:] in [bytes([c]) for c in b".!?:;\"')"] for x in lines])}
+        for k, v in want.items():
+            assert np.isclose(got[k], v), (k, t)
+
+
+def test_score_and_first_step_by_hand():
+    """A score is a sum of table entries; the first tree of one feature is the best by all cuts."""
+    rng = np.random.default_rng(5)
+    x = rng.random((300, 2))
+    y = (x[:, 0] > 0.6).astype(float)
+    model = quality.fit(x, y, rounds=3, pair_rounds=2, bins=6)
+    for row, got in zip(x[:40], model.score(x[:40])):
+        at = [sum(e <= v for e in edges) for edges, v in zip(model.edges, row)]
+        z = model.base + sum(t[k] for t, k in zip(model.tables, at)) + sum(t[at[f], at[g]] for f, g, t in model.pairs)
+        assert np.isclose(got, 1 / (1 + np.exp(-z)))
+    one = quality.fit(x[:, :1], y, rounds=1, pair_rounds=0, bins=6, rate=1.0)
+    prior = (y.sum() + 9) / 310
+    k = np.array([sum(e <= v for e in one.edges[0]) for v in x[:, 0]])
+    g, h = y - prior, np.full(300, prior * (1 - prior))
+    score = lambda parts: sum(g[np.isin(k, p)].sum() ** 2 / (h[np.isin(k, p)].sum() + 1) for p in parts)
+    bins = range(len(one.tables[0]))
+    first = max(([[b for b in bins if b < c], [b for b in bins if b >= c]] for c in range(1, len(bins))), key=score)
+    both = [[[q for q in p if q < c], [q for q in p if q >= c]] + [o for o in first if o is not p] for p in first for c in p[1:]]
+    best = max(both, key=score)
+    for p in best:
+        assert np.allclose(one.tables[0][p], g[np.isin(k, p)].sum() / (h[np.isin(k, p)].sum() + 1))
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["__bad", "__leak", "__gone", "__key", "__kept", "__host", "__text", "a.b"]
+    df = spark.createDataFrame([(1, "some plain text here"), (None, None), (2, "")], "doc_id long, text string").select("doc_id", "text", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "some plain text here")], "item_id long, text string")
+    assert quality.keep_good(df, labels).columns == df.columns and quality.keep_good(df, labels).count() == 3
+    assert {r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()} == {None, 2}
+
+
 def test_model_learns_effects_and_pairs():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 4))

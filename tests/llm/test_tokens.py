@@ -45,6 +45,11 @@ def test_token_files(spark, docs, no_docs, texts):
         at += len(ids)
     whole = tok.encode(texts[22], add_special_tokens=False).ids
     assert token_files.token_range(spark, path, 22, 1000, 7).tolist() == whole[1000:1007]
+    none = tok.encode(texts[None], add_special_tokens=False).ids
+    assert token_files.token_range(spark, path, None).tolist() == [*none, 2] and token_files.token_range(spark, path, 22, 10**9).tolist() == []
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = token_files.blocks_of(spark, path, 22)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(low,22)" in plan and "GreaterThanOrEqual(high,22)" in plan  # pushed to the files' statistics
     with pytest.raises(KeyError):
         token_files.token_range(spark, path, 999)
     path = common.scratch(spark, "tokens")
@@ -114,7 +119,7 @@ def test_plan_covers_all_and_wastes_less_than_a_sequence():
 def test_pack_documents(docs, no_docs, texts):
     tok = Tokenizer.from_file(WORDS)
     ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
-    got = packing.pack_documents(docs, WORDS, 1, capacity=128, group_docs=9).collect()
+    got = packing.pack_documents(docs, WORDS, 1, capacity=128, group_bytes=3000).collect()
     seen = {}
     for r in got:
         part = ids[r.doc_id][r.start : r.start + r.length]
