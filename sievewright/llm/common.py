@@ -19,6 +19,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,10 +121,40 @@ MOST_PARTITIONS = 100_000
 
 
 def by_bucket(df: DataFrame, n_buckets: int) -> DataFrame:
-    """df dealt by its column bucket."""
+    """df dealt by its column bucket, whose values are homes(n_buckets)."""
     return df.repartition(min(n_buckets, MOST_PARTITIONS), "bucket")
 
 
+def homes(n_buckets: int) -> np.ndarray:
+    """A number for each bucket. Spark deals rows by a hash of the number, which puts several buckets
+    into some partitions and none into others; these are numbers that go to partitions of their own
+    (Murmur3 of a long, seed 42), the same share of them to each where there are more buckets."""
+    parts = min(n_buckets, MOST_PARTITIONS)
+    rounds = -(-n_buckets // parts)
+    out, have, start = np.zeros((rounds, parts), np.int64), np.zeros(parts, np.int64), 0
+    u = np.uint32
+
+    def turned(x, r):
+        return (x << u(r)) | (x >> u(32 - r))
+
+    def mixed(h, k):
+        k = turned(k * u(0xCC9E2D51), 15) * u(0x1B873593)
+        return turned(h ^ k, 13) * u(5) + u(0xE6546B64)
+
+    while have.min() < rounds:
+        number = np.arange(start, start + 4 * parts + 64, dtype=np.int64)
+        start += len(number)
+        h = mixed(mixed(np.full(len(number), 42, u), (number & 0xFFFFFFFF).astype(u)), (number >> 32).astype(u)) ^ u(8)
+        h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+        h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+        where = (h ^ (h >> u(16))).view(np.int32).astype(np.int64) % parts
+        for n, w in zip(number.tolist(), where.tolist()):
+            if have[w] < rounds:
+                out[have[w], w] = n
+                have[w] += 1
+    return out.ravel()[:n_buckets]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names, changed where df has such columns already."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -307,11 +307,12 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, np.diff(np.concatenate((new, [len(keys)])))
 
 
-def packed_keys(batches, bands: Bands, frequent: np.ndarray, n_buckets: int):
+def packed_keys(batches, bands: Bands, frequent: np.ndarray, homes: np.ndarray):
     """Block keys of each batch, by bucket: six bytes of each key, the row it is of, the rows' ids.
 
-    A crowd (see CROWD) becomes a group at once, in buckets from n_buckets on.
+    A crowd (see CROWD) becomes a group at once, and goes to a bucket of its own number.
     """
+    n_buckets = len(homes)
     shingler = encode.worker_wide(Shingler)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -332,11 +333,11 @@ def packed_keys(batches, bands: Bands, frequent: np.ndarray, n_buckets: int):
             group = np.unique(ids[rows[new[i] : new[i] + size[i]]])
             rows[new[i]] = np.flatnonzero(ids == group[0])[0]
             gone[new[i] + 1 : new[i] + size[i]] = True
-            key, home = keys[new[i]].tobytes(), int(((keys[new[i]] >> U(32)) * U(n_buckets)) >> U(32))
-            out.append((n_buckets + int(keys[new[i]] % U(n_buckets)), key, None, None, group))
+            key, home = keys[new[i]].tobytes(), int(homes[((keys[new[i]] >> U(32)) * U(n_buckets)) >> U(32)])
+            out.append((-1 - int(keys[new[i]] % U(n_buckets)), key, None, None, group))
             out.append((home, key, None, None, group[:1]))  # tells the key's own bucket
         keys, rows = keys[~gone], rows[~gone]
-        bucket = ((keys >> U(32)) * U(n_buckets)) >> U(32)
+        bucket = homes[((keys >> U(32)) * U(n_buckets)) >> U(32)]
         short = keys.view(np.uint8).reshape(-1, 8)[:, :6]
         rows = rows.astype(np.uint16 if len(ids) <= 65536 else np.uint32)
         names = zlib.compress(np.diff(ids, prepend=0).tobytes(), 1)
@@ -350,7 +351,7 @@ def packed_keys(batches, bands: Bands, frequent: np.ndarray, n_buckets: int):
         encode.release()
 
 
-def equal_keys(n_buckets: int):
+def equal_keys():
     """The groups of a bucket. A group's key is a hash of its members, so the same group found by many
     blocks is one; where a crowd may belong to it, it is the block's key."""
 
@@ -358,7 +359,7 @@ def equal_keys(n_buckets: int):
         crowd = pc.is_valid(table.column("members"))
         groups, crowds = table.filter(pc.invert(crowd)), table.filter(crowd)
         crowded = np.frombuffer(b"".join(crowds.column("keys").to_pylist()), U)
-        if key[0].as_py() >= n_buckets:
+        if key[0].as_py() < 0:
             return pa.table([pa.array(crowded.view(np.int64)), pa.array(crowds.column("members").to_pylist(), pa.list_(pa.int64()))], names=["key", "members"])
         found = [pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))], names=["key", "members"])]
         if groups.num_rows:
@@ -468,8 +469,9 @@ def _jaccard_groups(docs: DataFrame, similarity: tuple[int, int], frequent_share
     bands, n_buckets = Bands(num, den), common.buckets(docs, 12)
     copies, _ = common.written(member.where("doc_id <> rep").select("doc_id"), "copies")
     firsts = rows.join(_limited(copies), "doc_id", "left_anti")
-    packed = firsts.mapInArrow(lambda x: packed_keys(x, bands, frequent, n_buckets), PACKED)
-    groups, _ = common.written(common.by_bucket(packed, n_buckets).groupBy("bucket").applyInArrow(equal_keys(n_buckets), GROUPS), "groups")
+    homes = common.homes(n_buckets)
+    packed = firsts.mapInArrow(lambda x: packed_keys(x, bands, frequent, homes), PACKED)
+    groups, _ = common.written(common.by_bucket(packed, n_buckets).groupBy("bucket").applyInArrow(equal_keys(), GROUPS), "groups")
     held = groups.select("key", F.explode("members").alias("doc_id")).distinct().join(member, "doc_id").select("key", "rep", "n")
     held, _ = common.written(held, "held")
     # a group's head is the member that most groups have: of copies with changes, the least changed

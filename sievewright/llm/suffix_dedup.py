@@ -96,10 +96,10 @@ def _packed(bucket: np.ndarray, cols: list[np.ndarray], names: list[str]):
         yield pa.RecordBatch.from_arrays([pa.array(bucket[at[i : i + 500]], pa.int64()), *(pa.array([c[a:b].tobytes() for a, b in part], pa.binary()) for c in cols)], ["bucket", *names])
 
 
-def first_digit(batches, depth: int, n_buckets: int):
+def first_digit(batches, depth: int, homes: np.ndarray):
     """Anchors by bucket of their hash. Of those with one hash in a batch only the first goes there,
-    marked; the others are known to be candidates, so they meet no one and go to buckets from n_buckets
-    on by their document."""
+    marked; the others are known to be candidates, so they need meet no one and go by their document."""
+    n_buckets = len(homes)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         got = []
@@ -115,8 +115,10 @@ def first_digit(batches, depth: int, n_buckets: int):
         first = np.concatenate(([True], h[1:] != h[:-1]))
         last = np.concatenate((first[1:], [True]))
         known = np.where(first, (~last).astype(np.uint8), 2).astype(np.uint8)
-        bucket = (((h >> U(32)) * U(n_buckets)) >> U(32)).astype(np.int64)
-        bucket[~first] = n_buckets + (mix(docs[~first].astype(np.int64).view(U)) % U(n_buckets)).astype(np.int64)
+        # the least hash of a window is a low one, so it is mixed before it deals
+        bucket = (((mix(h) >> U(32)) * U(n_buckets)) >> U(32)).astype(np.int64)
+        bucket[~first] = (mix(docs[~first].astype(np.int64).view(U)) % U(n_buckets)).astype(np.int64)
+        bucket = homes[bucket]
         order = np.argsort(bucket, kind="stable")
         yield from _packed(bucket[order], [x[order] for x in (h, docs, start.astype(np.int32) if start.max(initial=0) < 2**31 else start, many, place, known)], ["keys", "docs", "starts", "many", "places", "known"])
         encode.release()
@@ -158,14 +160,15 @@ def ranges(depth: int, crowded: bool) -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def passages(batches, depth: int, n_buckets: int):
+def passages(batches, depth: int, homes: np.ndarray):
     """The bytes that candidates' windows cover, by bucket of the next digit (see ranges).
 
     Of equal ones in a batch the first goes there; the windows of the others are cut for sure (no
-    bytes, buckets from n_buckets).
+    bytes, buckets by document).
     """
     import xxhash
 
+    n_buckets = len(homes)
     room, parted = depth - GRAM, {c: ranges(depth, c) for c in (False, True)}
     for batch in batches:
         first: dict[tuple, tuple[int, int]] = {}
@@ -205,7 +208,7 @@ def passages(batches, depth: int, n_buckets: int):
         if first:
             rows = sorted(((k >> 32) * n_buckets >> 32, k, place, text, n, doc, start) for (k, place, n, text), (doc, start) in first.items())
             del first
-            bucket = np.array([x[0] for x in rows])
+            bucket = homes[np.array([x[0] for x in rows])]
             at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             stop = np.concatenate((at[1:], [len(rows)]))
             for i in range(0, len(at), 200):
@@ -216,7 +219,7 @@ def passages(batches, depth: int, n_buckets: int):
         if cut:
             c = np.array(cut, np.int64)
             doc, begin, end = _runs_of(c[:, 0], c[:, 1], c[:, 1] + c[:, 2] - 1)
-            where = (mix(doc.view(U)) % U(n_buckets)).astype(np.int64) + n_buckets
+            where = homes[(mix(doc.view(U)) % U(n_buckets)).astype(np.int64)]
             order = np.argsort(where, kind="stable")
             for rb in _packed(where[order], [doc[order], begin[order], (end - begin + 1)[order]], ["docs", "starts", "many"]):
                 none = pa.nulls(rb.num_rows, pa.binary())
@@ -291,10 +294,13 @@ def _cut_windows(data: bytes, begin: np.ndarray, keys: np.ndarray, places: np.nd
 
 def further_digits(depth: int):
     def run(key, table):
+        known = table.filter(pc.is_null(table.column("bytes")))
+        docs, starts, many = (_joined(known, n, np.int64) for n in ("docs", "starts", "many"))
+        gone = [pa.table([pa.array(docs), pa.array(starts), pa.array(starts + many - 1)], names=["doc_id", "first", "last"])]
+        table = table.filter(pc.is_valid(table.column("bytes")))
+        if not table.num_rows:
+            return gone[0]
         docs, starts = _joined(table, "docs", np.int64), _joined(table, "starts", np.int64)
-        if table.column("bytes").null_count:
-            many = _joined(table, "many", np.int64)
-            return pa.table([pa.array(docs), pa.array(starts), pa.array(starts + many - 1)], names=["doc_id", "first", "last"])
         many = _joined(table, "many", np.uint8).astype(np.int64)
         keys, places = _joined(table, "keys", U), _joined(table, "places", np.uint8).astype(np.int64)
         data = b"".join(table.column("bytes").to_pylist())
@@ -304,7 +310,7 @@ def further_digits(depth: int):
         order = np.argsort(keys, kind="stable")
         total = np.cumsum(many[order])
         new = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1], [True])))
-        gone, a = [], 0
+        a = 0
         while a < len(new) - 1:
             before = total[new[a] - 1] if new[a] else 0
             b = max(a + 1, int(np.searchsorted(total[new[1:] - 1], before + WINDOWS, "right")))
@@ -373,15 +379,16 @@ def _cut_repeats(docs: DataFrame, depth: int, id_col: str, text_col: str, with_k
     heads, _ = common.written(sums.where(F.col("n_bytes") >= depth).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("sha", "rep"), "heads")
     copies, _ = common.written(sums.join(heads, "sha").where("doc_id <> rep").select("doc_id"), "copies")
     n_buckets = common.buckets(docs, 4)
+    homes = common.homes(n_buckets)
     work = _only(rows.where(F.octet_length("text") >= depth), copies, "left_anti")
 
-    packed = work.mapInArrow(lambda x: first_digit(x, depth, n_buckets), FOUND)
+    packed = work.mapInArrow(lambda x: first_digit(x, depth, homes), FOUND)
     again, _ = common.written(common.by_bucket(packed, n_buckets).groupBy("bucket").applyInArrow(repeated, CANDIDATES), "anchors")
     ids, _ = common.written(again.select("doc_id").distinct(), "ids")
     crowds, _ = common.written(again.groupBy("key").count().where(F.col("count") >= CROWD).select("key", F.lit(True).alias("crowd")), "crowds")
     told = again.join(F.broadcast(crowds) if crowds.count() <= common.BROADCAST_IDS else crowds, "key", "left")
     lists = told.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "many", "place", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("found"))
-    bytes_of = _only(work, ids, "left_semi").join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda x: passages(x, depth, n_buckets), PASSAGES)
+    bytes_of = _only(work, ids, "left_semi").join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda x: passages(x, depth, homes), PASSAGES)
     cuts, _ = common.written(common.by_bucket(bytes_of, n_buckets).groupBy("bucket").applyInArrow(further_digits(depth), CUTS), "cuts")
 
     ids, _ = common.written(cuts.select("doc_id").distinct(), "ids")

@@ -86,6 +86,17 @@ def test_block_keys_meet_for_every_link():
             assert ngram_join.hamming(ha, hb) <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_buckets_have_partitions_of_their_own(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    for n, most in ((1, 100), (37, 100), (50, 10)):
+        monkeypatch.setattr(common, "MOST_PARTITIONS", most)
+        ids = common.homes(n).tolist()
+        assert len(set(ids)) == n
+        df = common.by_bucket(spark.createDataFrame([(i,) for i in ids], "bucket long"), n).groupBy(F.spark_partition_id()).count()
+        assert {r[1] for r in df.collect()} == {-(-n // min(n, most))}
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(40)] + [(500, 500 + i) for i in range(60)]
