@@ -107,10 +107,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
         enc = encode.worker_wide(encode.Encoder, tokenizer, KEEP)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
+            keys, texts, group = batch.column(0), [x or "" for x in batch.column(1).to_pylist()], batch.column(2)
+            home = homes[group.to_numpy() % parts]
             for a, b in encode.slices(texts):
                 got = [x + end for x in enc.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(got, pa.binary()), pa.array([enc.dtype.itemsize] * (b - a), pa.int32()), batch.column(2).slice(a, b - a)], ["doc_id", "ids", "size", "long_one"])
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(got, pa.binary()), pa.array([enc.dtype.itemsize] * (b - a), pa.int32()), group.slice(a, b - a), pa.array(home[a:b])], ["doc_id", "ids", "size", "group", "home"])
             encode.release()
 
     def pack(key, table):
@@ -119,7 +120,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
         ids = [np.frombuffer(x.as_buffer(), f"<u{s}") for x, s in zip(table.column("ids"), sizes)]
         done = plan([len(x) for x in ids], capacity)
         parts = [ids[d][s : s + n].astype("<u4") for d, s, n, _, _ in done]
-        cols = [[keys[p[0]] for p in done], [p[1] for p in done], [p[2] for p in done], [zlib.crc32(x) for x in parts], [len(ids[p[0]]) for p in done], [(key[0].as_py() << 24) + p[3] for p in done], [p[4] for p in done]]
+        cols = [[keys[p[0]] for p in done], [p[1] for p in done], [p[2] for p in done], [zlib.crc32(x) for x in parts], [len(ids[p[0]]) for p in done], [(key[1].as_py() << 24) + p[3] for p in done], [p[4] for p in done]]
         out = [pa.array(c, pa.int64()) for c in cols]
         names = [c.split()[0] for c in PIECES.split(", ")]
         if with_ids:
@@ -130,7 +131,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
     # a hash of the id deals documents to groups 0 to groups - 1, and long ones to numbers above
     spread = F.xxhash64(F.lit(seed), "doc_id")
     group = F.when(F.col("long_one"), groups + F.pmod(spread, F.lit(1 << 36))).otherwise(F.pmod(spread, F.lit(groups)))
-    ids = rows.withColumn("long_one", size > group_bytes).mapInArrow(tokens, "doc_id long, ids binary, size int, long_one boolean")
-    dealt = ids.select("doc_id", "ids", "size", group.alias("group")).repartition(min(max(12, groups // 4), common.MOST_PARTITIONS), "group")
-    out = dealt.groupBy("group").applyInArrow(pack, schema)
+    rows = rows.withColumn("long_one", size > group_bytes).select("doc_id", "text", group.alias("group"))
+    parts = min(max(12, groups), common.MOST_PARTITIONS)
+    homes = common.homes(parts)
+    dealt = rows.mapInArrow(tokens, "doc_id long, ids binary, size int, group long, home long").repartition(parts, "home")
+    out = dealt.groupBy("home", "group").applyInArrow(pack, schema)
     return out.withColumn("doc_id", common.id_out())
