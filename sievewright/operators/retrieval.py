@@ -106,14 +106,56 @@ def tiers(pool: DataFrame, floor: float = SIMILARITY_FLOOR) -> DataFrame:
     return pool.withColumn("tier", tier).withColumn("place", F.row_number().over(w))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """(query_id, point_id, distance) of the k nearest points, by squared distance, ties by id.
-
-    queries (a stated set) are counted and broadcast; points stay where they are.
+def nearest(queries: DataFrame, points: DataFrame, k: int, block: int = 2000, group: str | None = None) -> DataFrame:
+    """(query_id, point_id, rank, distance) of the k nearest points by squared distance, ties by id.
+
+    A point with a query's own id is left out; with `group` (a column of both) so are points of the
+    query's group. Queries (a stated set) are dealt to blocks of some `block` rows; every block meets
+    every batch of points as a product of matrices, and only k rows a query leave a batch. Distances
+    are rounded to 9 places, so that ties don't depend on the order of adding. Rows with null vectors
+    or null elements are left out; vectors must have one length.
     """
-    if queries.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("split the queries into blocks")
-    d = F.aggregate(F.zip_with("q", "p", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = points.crossJoin(F.broadcast(queries)).withColumn("distance", d)
-    w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "point_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "point_id", "rank", "distance")
+    import numpy as np
+    import pyarrow as pa
+
+    sound = lambda df, v: df.where(F.coalesce(F.forall(v, lambda x: x.isNotNull()), F.lit(False)))
+    g = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    q = sound(queries.select(F.col("query_id").cast("long"), F.col("q").cast("array<double>"), g.alias("g")).where("query_id is not null"), "q")
+    p = sound(points.select(F.col("point_id").cast("long"), F.col("p").cast("array<double>"), g.alias("g")).where("point_id is not null"), "p")
+    blocks = max(1, -(-q.count() // block))
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    # a few shares of the points, so that a block of queries is many tasks
+    shares = max(1, min(1000, p.count() // 50_000))
+    left = q.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    right = p.withColumn("share", F.pmod(F.xxhash64("point_id"), F.lit(shares))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def compare(key, one, two):
+        at = lambda t, c: t.column(c).to_numpy()
+        rows = lambda t, c: np.array(t.column(c).to_pylist(), float).reshape(t.num_rows, -1)
+        x, ids, own = rows(one, "q"), at(one, "query_id"), np.array(one.column("g").to_pylist(), object)
+        best_d, best_i = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(np.int64).max)
+        for a in range(0, two.num_rows if len(x) else 0, 4000):
+            part = two.slice(a, 4000)
+            y, pid, theirs = rows(part, "p"), at(part, "point_id"), np.array(part.column("g").to_pylist(), object)
+            rough = (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None, :]
+            out = pid[None, :] == ids[:, None]
+            if group:
+                out |= theirs[None, :] == own[:, None]
+            rough[out] = np.inf
+            # all that may be among the k best, then their distances without cancellation
+            limit = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
+            i, j = np.nonzero(rough <= (limit + 1e-6 * (1 + np.abs(limit)))[:, None])
+            keep = ~out[i, j]
+            i, j = i[keep], j[keep]
+            d = np.round(((x[i] - y[j]) ** 2).sum(1), 9)
+            for r in np.unique(i):
+                mine = i == r
+                alld, alli = np.concatenate((best_d[r], d[mine])), np.concatenate((best_i[r], pid[j[mine]]))
+                order = np.lexsort((alli, alld))[:k]
+                best_d[r], best_i[r] = alld[order], alli[order]
+        i, j = np.nonzero(np.isfinite(best_d))
+        return pa.table([pa.array(ids[i], pa.int64()), pa.array(best_i[i, j], pa.int64()), pa.array(best_d[i, j], pa.float64())], names=["query_id", "point_id", "distance"])
+
+    found = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(compare, "query_id long, point_id long, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", "point_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "point_id", "rank", "distance")

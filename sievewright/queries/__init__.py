@@ -1,3 +1,3 @@
 """The registered queries, by family; importing this registers them."""
 
-from . import aggregation, classification, extraction, learning, planning, ranking, scoring, selection, sources  # noqa: F401
+from . import aggregation, classification, extraction, learning, molecules, planning, ranking, scoring, selection, sources  # noqa: F401

@@ -112,56 +112,7 @@ def q_merge_sources(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("k", F.coalesce("n1", "n2").alias("name"), F.coalesce("b2", "b1").alias("bal"), F.when(F.col("in1") & F.col("in2"), "both").when(F.col("in1"), "first").otherwise("second").alias("source"))
 
 
-# geometry -------------------------------------------------------------------------------------------
-
-ATOMS = "SELECT CAST(vec_id AS BIGINT) DIV 10 AS geom_id, CAST(vec_id AS BIGINT) % 10 AS idx, CASE CAST(vec_id AS BIGINT) % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'H' WHEN 2 THEN 'N' WHEN 3 THEN 'O' ELSE 'S' END AS symbol, CAST(embedding[{0}] AS DOUBLE) * 1.2 AS x, CAST(embedding[{1}] AS DOUBLE) * 1.2 AS y, CAST(embedding[{2}] AS DOUBLE) * 1.2 AS z FROM embeddings"
-RADII = "CASE {0}.symbol WHEN 'C' THEN 0.76 WHEN 'H' THEN 0.31 WHEN 'N' THEN 0.71 WHEN 'O' THEN 0.66 ELSE 1.05 END"
-VDW = "CASE {0}.symbol WHEN 'C' THEN 1.70 WHEN 'H' THEN 1.20 WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 ELSE 1.80 END"
-DISTANCE = "sqrt(0.0 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
-ATOMS_SQL = f"""atoms AS ({ATOMS.replace(' DIV ', ' // ').format(1, 2, 3)}), pr AS (SELECT a.geom_id, a.idx AS aidx, b.idx AS bidx, a.symbol AS asymbol, b.symbol AS bsymbol, {DISTANCE} AS d, {RADII.format('a')} + {RADII.format('b')} AS rc, {VDW.format('a')} + {VDW.format('b')} AS rv FROM atoms a JOIN atoms b ON a.geom_id = b.geom_id AND a.idx < b.idx),
-  bd AS (SELECT * FROM pr WHERE d <= 1.2 * rc), nb AS (SELECT geom_id, aidx AS centre, bidx AS other FROM bd UNION ALL SELECT geom_id, bidx, aidx FROM bd)"""
-
-
-def atoms(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(ATOMS.format(0, 1, 2).replace("FROM embeddings", "FROM {embeddings}"), embeddings=table(spark, sf, "embeddings"))
-
-
-@query(f"WITH {ATOMS_SQL} SELECT geom_id, aidx, bidx, round(d, 6) AS d FROM bd")
-def q_bonds(spark: SparkSession, sf: str) -> DataFrame:
-    """Atom pairs within reach of their radii."""
-    return G.bonds(atoms(spark, sf)).select("geom_id", "aidx", "bidx", F.round("d", 6).alias("d"))
-
-
-@query(f"WITH {ATOMS_SQL}, two AS (SELECT p.geom_id, p.other AS aidx, q.other AS bidx FROM nb p JOIN nb q ON p.geom_id = q.geom_id AND p.centre = q.centre AND p.other < q.other) SELECT geom_id, aidx, bidx, round(d, 6) AS d FROM pr WHERE d < 0.7 * rv AND (geom_id, aidx, bidx) NOT IN (SELECT geom_id, aidx, bidx FROM bd) AND (geom_id, aidx, bidx) NOT IN (SELECT geom_id, aidx, bidx FROM two)")
-def q_clash(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs that are too near and neither one nor two bonds apart."""
-    a = atoms(spark, sf)
-    return G.clashes(a, G.bonds(a)).select("geom_id", "aidx", "bidx", F.round("d", 6).alias("d"))
-
-
-@query(f"""WITH {ATOMS_SQL} SELECT p.geom_id, p.centre, p.other AS aidx, q.other AS bidx, round(degrees(acos(greatest(-1, least(1, ((a.x-c.x)*(b.x-c.x) + (a.y-c.y)*(b.y-c.y) + (a.z-c.z)*(b.z-c.z)) / sqrt(pow(a.x-c.x,2)+pow(a.y-c.y,2)+pow(a.z-c.z,2)) / sqrt(pow(b.x-c.x,2)+pow(b.y-c.y,2)+pow(b.z-c.z,2)))))), 4) AS angle
-  FROM nb p JOIN nb q ON p.geom_id = q.geom_id AND p.centre = q.centre AND p.other < q.other JOIN atoms a ON a.geom_id = p.geom_id AND a.idx = p.other JOIN atoms b ON b.geom_id = p.geom_id AND b.idx = q.other JOIN atoms c ON c.geom_id = p.geom_id AND c.idx = p.centre""")
-def q_angles(spark: SparkSession, sf: str) -> DataFrame:
-    a = atoms(spark, sf)
-    return G.angles(a, G.bonds(a)).withColumn("angle", F.round("angle", 4))
-
-
-@query(f"WITH {ATOMS_SQL}, bo AS (SELECT geom_id, aidx AS idx, bidx AS other, bsymbol AS s, d FROM pr UNION ALL SELECT geom_id, bidx, aidx, asymbol, d FROM pr) SELECT geom_id, idx, other, round(d, 6) AS d FROM bo WHERE s <> 'H' AND d <= 3 QUALIFY row_number() OVER (PARTITION BY geom_id, idx ORDER BY round(d, 9), other) = 1")
-def q_nearest_heavy(spark: SparkSession, sf: str) -> DataFrame:
-    return G.nearest_heavy(atoms(spark, sf), 3.0).withColumn("d", F.round("d", 6))
-
-
-@query(f"""WITH RECURSIVE {ATOMS_SQL}, reach(geom_id, idx, target) AS (SELECT geom_id, idx, idx FROM atoms UNION SELECT r.geom_id, r.idx, nb.other FROM reach r JOIN nb ON nb.geom_id = r.geom_id AND nb.centre = r.target)
-  SELECT geom_id, count(DISTINCT part) AS n_parts FROM (SELECT geom_id, idx, min(target) AS part FROM reach GROUP BY 1, 2) GROUP BY 1""")
-def q_fragments(spark: SparkSession, sf: str) -> DataFrame:
-    """Connected parts of each molecule."""
-    a = atoms(spark, sf)
-    return G.fragments(a, G.bonds(a), 10)
-
-
-@query(f"WITH {ATOMS_SQL}, k AS (SELECT *, CASE least(asymbol, bsymbol) || '-' || greatest(asymbol, bsymbol) WHEN 'C-C' THEN 1.54 WHEN 'C-N' THEN 1.47 WHEN 'C-O' THEN 1.43 WHEN 'C-H' THEN 1.09 WHEN 'C-S' THEN 1.82 WHEN 'H-N' THEN 1.01 WHEN 'H-O' THEN 0.96 WHEN 'H-S' THEN 1.34 WHEN 'N-N' THEN 1.45 WHEN 'N-O' THEN 1.40 WHEN 'S-S' THEN 2.05 END AS ref FROM bd) SELECT CASE WHEN d / ref < 0.85 THEN 'short' WHEN d / ref > 1.2 THEN 'long' ELSE 'ok' END AS verdict, count(*) AS n, round(avg(d / ref), 6) AS ratio FROM k WHERE ref IS NOT NULL GROUP BY 1")
-def q_bond_check(spark: SparkSession, sf: str) -> DataFrame:
-    return G.bond_check(G.bonds(atoms(spark, sf))).groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("ratio"), 6).alias("ratio"))
+# spectra and energies --------------------------------------------------------------------------------
 
 
 @query("SELECT user_id % 10 AS compound, x, round(sum(value * 225.0 / ((x - k) * (x - k) + 225.0)), 4) AS y FROM (SELECT user_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) * 40 AS k FROM events WHERE event_type = 'click'), (SELECT CAST(40.0 AS DOUBLE) * unnest(range(0, 101)) AS x) GROUP BY 1, 2")
@@ -195,45 +146,6 @@ def q_inputs_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return close_pairs(c, ["c_nationkey"], "cents", 500, "c_custkey")
 
 
-AXES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-
-
-@query("SELECT n_nationkey, k AS site, round(CAST(x AS DOUBLE) * (2 + n_regionkey * 0.1), 6) AS x, round(CAST(y AS DOUBLE) * (2 + n_regionkey * 0.1), 6) AS y, round(CAST(z AS DOUBLE) * (2 + n_regionkey * 0.1), 6) AS z FROM nation, (VALUES (0, 1, 0, 0), (1, -1, 0, 0), (2, 0, 1, 0), (3, 0, -1, 0), (4, 0, 0, 1), (5, 0, 0, -1)) a(k, x, y, z)")
-def q_octahedron(spark: SparkSession, sf: str) -> DataFrame:
-    """Six ligand places around each centre."""
-    axes = F.posexplode(F.array(*(F.struct(*(F.lit(float(v)).alias(n) for v, n in zip(a, "xyz"))) for a in AXES))).alias("site", "v")
-    r = 2 + F.col("n_regionkey") * 0.1
-    return table(spark, sf, "nation").select("n_nationkey", "n_regionkey", axes).select("n_nationkey", "site", *(F.round(F.col(f"v.{k}") * r, 6).alias(k) for k in "xyz"))
-
-
-@query("SELECT p_partkey, step, round(CAST(4.0 AS DOUBLE) - step * CAST(0.5 AS DOUBLE), 6) AS distance FROM part, (SELECT unnest(range(0, 5)) AS step) WHERE p_partkey % 100 = 0")
-def q_approach(spark: SparkSession, sf: str) -> DataFrame:
-    """A row generator: places along a path."""
-    rows = table(spark, sf, "part").where("p_partkey % 100 = 0").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("step"))
-    return rows.withColumn("distance", F.round(4.0 - F.col("step") * 0.5, 6))
-
-
-@query("SELECT o_orderkey, CAST(sum(coalesce(d, 1)) AS BIGINT) AS denticity FROM (SELECT l_orderkey AS o_orderkey, CASE l_shipmode WHEN 'x' THEN 2 END AS d FROM (SELECT l_orderkey, CASE WHEN l_partkey % 5 = 0 THEN 'x' WHEN l_partkey % 7 = 0 THEN 'y' ELSE 'z' END AS l_shipmode FROM lineitem)) GROUP BY 1")
-def q_denticity(spark: SparkSession, sf: str) -> DataFrame:
-    """A lookup with 1 for what it doesn't have, summed."""
-    known = spark.createDataFrame([("x", 2)], "ligand string, d int")
-    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_partkey") % 5 == 0, "x").when(F.col("l_partkey") % 7 == 0, "y").otherwise("z").alias("ligand"))
-    return l.join(F.broadcast(known), "ligand", "left").groupBy("o_orderkey").agg(F.sum(F.coalesce("d", F.lit(1))).alias("denticity"))
-
-
-@query("SELECT l_orderkey, l_partkey AS site FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY 10 * l_tax - l_quantity DESC, l_partkey DESC) = 1")
-def q_prot_site(spark: SparkSession, sf: str) -> DataFrame:
-    """The best site, of equals the larger index."""
-    best = G.ranked_site(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_tax", "l_quantity"), ["l_orderkey"], 10 * F.col("l_tax") - F.col("l_quantity"), "l_partkey")
-    return best.select("l_orderkey", F.col("l_partkey").alias("site"))
-
-
-@query("SELECT user_id, round((max(value) FILTER (event_type = 'click') - max(value) FILTER (event_type = 'view')) * 627.509474, 3) AS gap, CASE WHEN max(value) FILTER (event_type = 'click') > max(value) FILTER (event_type = 'view') THEN 'low' ELSE 'high' END AS ground FROM events GROUP BY 1")
-def q_spin_gap(spark: SparkSession, sf: str) -> DataFrame:
-    top = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("value")))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.round((top("click") - top("view")) * G.HARTREE_KCAL, 3).alias("gap"), F.when(top("click") > top("view"), "low").otherwise("high").alias("ground"))
-
-
 @query("SELECT event_type, event_id, n FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20")
 def q_tail_limit(spark: SparkSession, sf: str) -> DataFrame:
     """The last rows of each log."""
@@ -243,28 +155,6 @@ def q_tail_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 # more of plans and molecules ------------------------------------------------------------------------
 
-NUMBERS = {"H": 1, "C": 6, "N": 7, "O": 8, "S": 16}
-
-
-@query(f"""WITH {ATOMS_SQL} SELECT geom_id, CAST(sum(CASE symbol WHEN 'H' THEN 1 WHEN 'C' THEN 6 WHEN 'N' THEN 7 WHEN 'O' THEN 8 ELSE 16 END) - geom_id % 3 AS BIGINT) AS electrons,
-  (sum(CASE symbol WHEN 'H' THEN 1 WHEN 'C' THEN 6 WHEN 'N' THEN 7 WHEN 'O' THEN 8 ELSE 16 END) - geom_id % 3) % 2 <> (1 + geom_id % 2) % 2 AS parity_ok FROM atoms GROUP BY 1""")
-def q_parity_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Electrons of a molecule with this charge, and whether the multiplicity goes with them."""
-    n = F.sum(G.by_key({k: float(v) for k, v in NUMBERS.items()}, F.col("symbol"))).cast("long") - F.col("geom_id") % 3
-    rows = atoms(spark, sf).groupBy("geom_id").agg(n.alias("electrons"))
-    return rows.withColumn("parity_ok", F.col("electrons") % 2 != (1 + F.col("geom_id") % 2) % 2)
-
-
-@query(f"""WITH {ATOMS_SQL}, c AS (SELECT geom_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM atoms GROUP BY 1)
-  SELECT geom_id, idx, part, round(CASE part WHEN 0 THEN x - cx ELSE x - cx + 3.5 END, 6) AS x, round(y - cy, 6) AS y, round(z - cz, 6) AS z FROM atoms JOIN c USING (geom_id), (VALUES (0), (1)) p(part)""")
-def q_dimer(spark: SparkSession, sf: str) -> DataFrame:
-    """A molecule about its centroid and its copy moved along an axis."""
-    a = atoms(spark, sf)
-    centre = a.groupBy("geom_id").agg(*(F.avg(k).alias(f"c{k}") for k in "xyz"))
-    both = a.join(centre, "geom_id").withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
-    moved = F.col("x") - F.col("cx") + F.when(F.col("part") == 1, 3.5).otherwise(0.0)
-    return both.select("geom_id", "idx", "part", F.round(moved, 6).alias("x"), *(F.round(F.col(k) - F.col(f"c{k}"), 6).alias(k) for k in "yz"))
-
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_type ELSE 'any' END AS code, CASE WHEN p_size % 4 = 0 THEN p_size ELSE 2 END AS max_attempts FROM part")
 def q_normalize_rule(spark: SparkSession, sf: str) -> DataFrame:

@@ -150,5 +150,8 @@ def test_water(spark):
     assert sorted((r.aidx, r.bidx) for r in b.collect()) == [(0, 1), (0, 2)]
     assert G.angles(atoms, b).first().angle == pytest.approx(104.5, abs=0.5)
     assert G.fragments(atoms, b).first().n_parts == 2
+    chain = spark.createDataFrame([(1, i, "C", 1.5 * i, 0.0, 0.0) for i in range(200)] + [(2, 0, "Fe", 0.0, 0.0, 0.0), (2, 1, "N", 2.55, 0.0, 0.0), (3, 0, "Xx", 0.0, 0.0, 0.0), (3, 1, "C", 1.5, 0.0, 0.0)], atoms.schema)
+    assert {r.geom_id: r.n_parts for r in G.fragments(chain, G.bonds(chain)).collect()} == {1: 1, 2: 1, 3: 1}
+    assert [r.verdict for r in G.bond_check(G.bonds(chain.where("geom_id = 2"))).collect()] == ["long"]
     p = [[F.lit(float(v)) for v in xyz] for xyz in ((1, 0, 0), (0, 0, 0), (0, 1, 0), (0, 1, 1))]
     assert one(spark, G.dihedral(p)) == pytest.approx(-90)
