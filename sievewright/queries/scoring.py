@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..determinism import mode, uniform_sql
 from ..operators import aggregates as A
+from ..operators import features as V
 from ..operators import models as M
 from ..operators import resample as P
 from ..registry import query, table
+from .classification import SYSTEM_SQL
 from .records import records, sql
 
 #: Reactions with errors of three policies, and ties: one for each order.
@@ -67,7 +69,7 @@ def q_pair_labels(spark: SparkSession, sf: str) -> DataFrame:
     return errors(spark, sf).where("err_a <> err_c").select("rid", (F.col("err_a") < F.col("err_c")).cast("int").alias("y"))
 
 
-FROZEN = {"classes": ["A", "B", "C"], "mean": [0.0, 0.1, -0.1, 0.05], "scale": [1.0, 0.5, 2.0, 1.5], "coef": [[0.2, -0.4, 1.0, 0.3], [-0.1, 0.6, -0.2, 0.1], [0.5, 0.1, 0.2, -0.9]], "intercept": [0.1, -0.2, 0.05]}
+FROZEN = {"classes": ["A", "B", "C"], "mean": [0.01 * (i % 5) for i in range(64)], "scale": [1 + 0.25 * (i % 3) for i in range(64)], "coef": [[((i * (c + 2) + 3 * c) % 11 - 5) / 10 for i in range(64)] for c in range(3)], "intercept": [0.1, -0.2, 0.05]}
 FROZEN["sha256"] = M.model_digest(FROZEN)
 _logits = [" + ".join(f"((CAST(embedding[{i + 1}] AS DOUBLE) - {m}) / {s}) * {w}" for i, (m, s, w) in enumerate(zip(FROZEN["mean"], FROZEN["scale"], row))) + f" + {b}" for row, b in zip(FROZEN["coef"], FROZEN["intercept"])]
 _z = ", ".join(f"round({x}, 9) AS z{i}" for i, x in enumerate(_logits))
@@ -76,7 +78,7 @@ _z = ", ".join(f"round({x}, 9) AS z{i}" for i, x in enumerate(_logits))
 @query(f"SELECT vec_id, CASE WHEN z0 >= z1 AND z0 >= z2 THEN 'A' WHEN z1 >= z2 THEN 'B' ELSE 'C' END AS choice FROM (SELECT vec_id, {_z} FROM embeddings)")
 def q_frozen_router(spark: SparkSession, sf: str) -> DataFrame:
     """A stored linear model scored without fitting anything; its digest is checked first."""
-    x = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
+    x = F.col("embedding").cast("array<double>")
     return table(spark, sf, "embeddings").select("vec_id", M.apply_frozen(x, M.checked(FROZEN)).alias("choice"))
 
 
@@ -132,12 +134,86 @@ def q_constant_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(best, "fold").groupBy("fold").agg(F.sum("n").alias("n"), F.round(100.0 * hit / F.sum("n"), 6).alias("pct"))
 
 
-@query("""SELECT scale, CAST(sum(n_atoms) AS BIGINT) AS atoms, round(sum(l), 6) AS log_atoms, CAST(sum(c) AS BIGINT) AS has_c, CAST(sum(open) AS BIGINT) AS open FROM (""" + sql("SELECT CASE WHEN n_atoms > 60 THEN 'big' ELSE 'small' END AS scale, n_atoms, ln(1 + coalesce(n_atoms, 0)) AS l, CASE WHEN list_contains(coalesce(elements, []), 'C') THEN 1 ELSE 0 END AS c, CASE WHEN multiplicity <> 1 THEN 1 ELSE 0 END AS open FROM r") + ") GROUP BY 1")
+WITH_R = sql("").rstrip()
+_E = "coalesce(elements, [])"
+TRAIN = "t AS (SELECT * FROM r WHERE substr(entry_id, 2)::BIGINT % 5 <> 0), w AS (SELECT list_sort(list(DISTINCT x)) AS es FROM (SELECT unnest(elements) AS x FROM t)), k AS (SELECT list_sort(list(DISTINCT coalesce(nullif(task_type, ''), 'UNKNOWN'))) AS ts FROM t)"
+ROW = f"""list_concat([ln(1 + greatest(coalesce(n_atoms, 0), 0)), CAST(coalesce(charge, 0) AS DOUBLE), CASE WHEN coalesce(nullif(multiplicity, 0), 1) <> 1 THEN 1.0 ELSE 0.0 END, CASE WHEN trim(coalesce(solvent, '')) <> '' THEN 1.0 ELSE 0.0 END],
+  list_transform(es, lambda x: CASE WHEN list_contains({_E}, x) THEN 1.0 ELSE 0.0 END), list_transform(ts, lambda x: CASE WHEN coalesce(nullif(task_type, ''), 'UNKNOWN') = x THEN 1.0 ELSE 0.0 END){{0}})"""
+SCALE_ROW = ", list_transform(['S', 'M', 'L', 'XL', 'unknown'], lambda x: CASE WHEN CASE WHEN n_atoms IS NULL OR n_atoms = 0 THEN 'unknown' WHEN n_atoms <= 10 THEN 'S' WHEN n_atoms <= 30 THEN 'M' WHEN n_atoms <= 100 THEN 'L' ELSE 'XL' END = x THEN 1.0 ELSE 0.0 END)"
+
+
+def _text(x):
+    return F.array_join(F.transform(x, lambda v: F.format_string("%.4f", v)), " ")
+
+
+@query(WITH_R + f", {TRAIN} SELECT entry_id, array_to_string(list_transform({ROW.format(SCALE_ROW)}, lambda v: printf('%.4f', CAST(v AS DOUBLE))), ' ') AS features FROM r, w, k")
 def q_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Features of records: log of size, sets as indicators."""
+    """Feature rows of all records; the vocabularies are those of four fifths of them."""
     r = records(spark, sf)
-    f = r.select(F.when(F.col("n_atoms") > 60, "big").otherwise("small").alias("scale"), "n_atoms", F.log1p(F.coalesce("n_atoms", F.lit(0))).alias("l"), F.coalesce(F.array_contains("elements", "C"), F.lit(False)).cast("int").alias("c"), (F.col("multiplicity") != 1).cast("int").alias("open"))
-    return f.groupBy("scale").agg(F.sum("n_atoms").cast("long").alias("atoms"), F.round(F.sum("l"), 6).alias("log_atoms"), F.sum("c").alias("has_c"), F.sum("open").alias("open"))
+    v = V.fit(r.where("CAST(substr(entry_id, 2) AS BIGINT) % 5 <> 0"))
+    return V.transform(r, v, ["entry_id"]).withColumn("features", _text("features"))
+
+
+@query(WITH_R + f", {TRAIN} SELECT entry_id, array_to_string(list_transform({ROW.format('')}, lambda v: printf('%.4f', CAST(v AS DOUBLE))), ' ') AS features FROM r, w, k")
+def q_features_rf(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without size classes."""
+    r = records(spark, sf)
+    v = V.fit(r.where("CAST(substr(entry_id, 2) AS BIGINT) % 5 <> 0"))
+    return V.transform(r, v, ["entry_id"], False).withColumn("features", _text("features"))
+
+
+_folds = " UNION ALL ".join(f"SELECT {k} AS split_fold, x AS word FROM (SELECT DISTINCT unnest(elements) AS x FROM r WHERE substr(entry_id, 2)::BIGINT % 3 <> {k})" for k in range(3))
+
+
+@query(WITH_R + f""", v AS ({_folds}), c AS (SELECT split_fold, count(*) AS n FROM v GROUP BY 1),
+  h AS (SELECT split_fold, entry_id, count(*) AS hits FROM r JOIN v ON list_contains({_E}, word) GROUP BY 1, 2)
+  SELECT c.split_fold, entry_id, substr(entry_id, 2)::BIGINT % 3 = c.split_fold AS is_test, CAST(n AS BIGINT) AS n_elements, CAST(coalesce(hits, 0) AS BIGINT) AS hits FROM r CROSS JOIN c LEFT JOIN h USING (split_fold, entry_id)""")
+def q_features_cv(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of every fold with the vocabulary of the others: how many elements it has and a record shows."""
+    r = records(spark, sf).withColumn("fold", F.expr("CAST(substr(entry_id, 2) AS BIGINT) % 3"))
+    rows, tasks = V.cross_validated(r, "fold", 3, ["entry_id"]), len(V.fit(r).tasks)
+    elements = F.slice("features", 5, F.size("features") - 4 - tasks - len(V.SCALES))
+    return rows.select("split_fold", "entry_id", "is_test", F.size(elements).cast("long").alias("n_elements"), F.aggregate(elements, F.lit(0.0), lambda a, x: a + x).cast("long").alias("hits"))
+
+
+@query("SELECT o_orderkey, l_partkey, p_size AS n_atoms FROM (SELECT l_orderkey AS o_orderkey, l_partkey, p_size, row_number() OVER (PARTITION BY l_orderkey ORDER BY p_size DESC, l_linenumber) AS k FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE k = 1")
+def q_representative(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest part of each order, the first of equals."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber").join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("n_atoms")), "l_partkey")
+    return V.representative(rows, ["o_orderkey"], "n_atoms", "l_linenumber").select("o_orderkey", "l_partkey", "n_atoms")
+
+
+@query(sql(f"""SELECT upload_id, entry_id, n_atoms, charge, multiplicity, 'SP' AS task_type, {SYSTEM_SQL} AS system_type, 'bench' AS specialist_cell FROM r WHERE upload_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY upload_id ORDER BY coalesce(n_atoms, -1) DESC, entry_id) = 1"""))
+def q_reaction_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """What a method is asked for each upload: the profile of its largest record."""
+    best = V.representative(records(spark, sf).where("upload_id is not null"), ["upload_id"], "n_atoms", "entry_id")
+    return V.profile(best, F.lit("bench"), ["upload_id", "entry_id"]).drop("elements")
+
+
+@query("""WITH x AS (SELECT p_partkey, p_size % 7 AS c, p_size % 11 AS h, p_size % 2 AS f FROM part)
+  SELECT p_partkey, CAST(c AS INT) AS n_c, (2 * c + 2 - h - f) / 2.0 AS unsaturation, CASE WHEN p_partkey % 2 = 0 THEN 'has_Fe' ELSE '' END AS others FROM x""")
+def q_unsaturation(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements counted in XYZ texts, the degree of unsaturation, and elements beyond the usual ones."""
+    line = lambda symbol, n: F.repeat(F.lit(f"{symbol}  0.0 1.0 2.0\n"), n)
+    k = F.col("p_size")
+    xyz = F.concat(line("C", (k % 7).cast("int")), line("H", (k % 11).cast("int")), line("F", (k % 2).cast("int")), F.when(F.col("p_partkey") % 2 == 0, "  Fe 0 0 0").otherwise(""))
+    rows = table(spark, sf, "part").select("p_partkey", V.xyz_elements(xyz).alias("m"))
+    others = F.array_join(F.map_keys(V.other_elements(F.col("m"))), ",")
+    return rows.select("p_partkey", F.coalesce(F.try_element_at("m", F.lit("C")), F.lit(0)).alias("n_c"), V.unsaturation(F.col("m")).alias("unsaturation"), others.alias("others"))
+
+
+@query(sql("SELECT field, array_to_string(list_sort(list(DISTINCT v)), '|') AS words FROM (SELECT 'functional' AS field, functional AS v FROM r UNION ALL SELECT 'basis', basis FROM r) WHERE v <> '' AND NOT contains(v, '=') GROUP BY 1"))
+def q_vocab_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return V.clean_vocabulary(records(spark, sf), ["functional", "basis"]).select("field", F.array_join("values", "|").alias("words"))
+
+
+@query(sql("SELECT entry_id, CASE functional WHEN 'M062X' THEN 'M06-2X' WHEN 'LDA' THEN 'SVWN' ELSE functional END AS functional, basis FROM r WHERE functional <> '' AND functional <> 'MP2' AND coalesce(basis, '') <> ''"))
+def q_canon_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions respelled; excluded ones and those without a basis go."""
+    from ..functions import classify as C
+
+    respelled = lambda f: C.canonical(f, {"M062X": "M06-2X"}, ("MP2",), {"LDA": "SVWN"})
+    return V.canonical_predictions(records(spark, sf), ["entry_id"], "functional", "basis", respelled)
 
 
 @query(f"SELECT subset, round(greatest(avg(agree), 1 - avg(agree)), 6) AS agreement FROM (SELECT subset, CASE WHEN (err_a < err_b) = (pred = 1) THEN 1.0 ELSE 0 END AS agree FROM ({ERRORS})) GROUP BY 1")
