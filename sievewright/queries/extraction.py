@@ -114,3 +114,57 @@ def q_get_path(spark: SparkSession, sf: str) -> DataFrame:
     """A JSON block in noise, and a value by its path."""
     b = X.json_block(F.concat(F.lit("text "), F.col("props"), F.lit(" end")))
     return table(spark, sf, "events").select("event_id", F.get_json_object(b, "$.k").cast("long").alias("k"), b.isNotNull().alias("ok"))
+
+
+def step_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """For each user a log of scan steps, an orbital block by spin, a Raman table and an end, from its events."""
+    v = F.format_string("%.6f", F.col("value"))
+    e = table(spark, sf, "events").select("user_id", "event_id", v.alias("v"))
+    items = F.array_sort(F.collect_list(F.struct("event_id", "v")))
+    rows = e.groupBy("user_id").agg(items.alias("p"))
+    steps = F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("RELAXED SURFACE SCAN STEP "), (i + 1).cast("string"), F.lit("\nCARTESIAN COORDINATES (ANGSTROEM)\n------\nC 0.0 0.0 9.9\n\nCARTESIAN COORDINATES (ANGSTROEM)\n------\nC 0.0 0.0 "), x["v"], F.lit("\n\nFINAL SINGLE POINT ENERGY  -"), x["v"])), "\n")
+    levels = F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("  "), i.cast("string"), F.when(i < 2, "  1.0000  -").otherwise("  0.0000  "), x["v"], F.lit("  1.0"))), "\n")
+    raman = F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("  "), i.cast("string"), F.lit(":  "), x["v"], F.lit("  2.5  0.7"))), "\n")
+    head = F.lit("NO   OCC  E(Eh)  E(eV)\n")
+    text = F.concat(steps, F.lit("\nORBITAL ENERGIES\n------\nSPIN UP ORBITALS\n"), head, levels, F.lit("\n\nRAMAN SPECTRUM\n-----\n Mode  freq  Activity  Depolarization\n-----\n"), raman, F.lit("\nThe end of it\n 99:  500.0  1.0  1.0\n"), F.when(F.col("user_id") % 3 == 0, "THE OPTIMIZATION HAS CONVERGED\n").otherwise(""), F.when(F.col("user_id") % 5 == 0, "SCF not converged").when(F.col("user_id") % 2 == 0, "****ORCA TERMINATED NORMALLY****").otherwise("ORCA TERMINATED NORMALLY"))
+    return rows.select("user_id", text.alias("log"))
+
+
+_NUMBERED = "p AS (SELECT user_id, CAST(printf('%.6f', value) AS DOUBLE) AS v, printf('%.6f', value) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)"
+
+
+@query(f"""WITH {_NUMBERED} SELECT user_id, count(*) AS n_steps, round(sum(v), 4) AS total, max(t) FILTER (i = 1) AS first_z, round(max(-v) FILTER (i <= 2), 6) AS homo, round(min(v) FILTER (i > 2), 6) AS lumo, true AS open_shell, count(*) FILTER (v > 10) AS n_raman FROM p GROUP BY 1""")
+def q_extract_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Energies and geometries by step, orbitals by spin, and a Raman table out of one log."""
+    t = F.col("log")
+    rows = step_logs(spark, sf).select("user_id", X.scan_steps(t).alias("s"), X.scan_geometries(t).alias("g"), X.orbitals(t).alias("o"), X.raman(t).alias("r"))
+    z = F.element_at(F.split(F.col("g")[0], " "), -1)
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a - x["energy"])
+    return rows.select("user_id", F.size("g").cast("long").alias("n_steps"), F.round(total, 4).alias("total"), z.alias("first_z"), F.round("o.homo_eh", 6).alias("homo"), F.round("o.lumo_eh", 6).alias("lumo"), F.col("o.open_shell").alias("open_shell"), F.size("r").cast("long").alias("n_raman"))
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id, user_id % 5 = 0 AS failed, user_id % 2 = 0 AS even, user_id % 3 = 0 AS conv FROM events)
+  SELECT user_id, CASE WHEN failed THEN 'error' WHEN conv THEN 'ok' ELSE 'not_converged' END AS status, NOT failed AS ok, NOT failed AND even AS strict_ok, failed OR even AS ok_agree, CASE WHEN failed THEN 'SCF_NOT_CONVERGED' END AS code, failed AS scf_agree FROM u""")
+def q_status_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Two detectors of a normal end on the same logs."""
+    rows = step_logs(spark, sf).select("user_id", X.convergence(F.col("log")).alias("status"), X.detectors(F.col("log")).alias("d"))
+    return rows.select("user_id", "status", "d.ok", "d.strict_ok", "d.ok_agree", "d.code", "d.scf_agree")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN NULL ELSE '{"a": "x}' || CAST(p_size AS VARCHAR) || '", "b": {"c": 1}}' END AS found FROM part""")
+def q_json_balanced(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON object in thoughts, fences and chatter; braces in its strings don't close it."""
+    obj = F.concat(F.lit('{"a": "x}'), F.col("p_size").cast("string"), F.lit('", "b": {"c": 1}}'))
+    k = F.col("p_size") % 4
+    text = F.when(k == 0, obj).when(k == 1, F.concat(F.lit("<think>{no}</think> ```json\n"), obj, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Sure: "), obj, F.lit(" and {more}"))).otherwise(F.concat(F.lit("cut "), F.substring(obj, 1, 12)))
+    return table(spark, sf, "part").select("p_partkey", X.json_balanced(text).alias("found"))
+
+
+@query("SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 150 WHEN user_id % 3 = 1 THEN 800 ELSE 200 END AS n_lines, CASE WHEN user_id % 3 = 0 THEN 'Summary of Natural Population Analysis' WHEN user_id % 3 = 1 THEN 'NBO analysis' ELSE 'line 1802' END AS head FROM (SELECT DISTINCT user_id FROM events)")
+def q_extract_nbo(spark: SparkSession, sf: str) -> DataFrame:
+    """The section of a population analysis, by its summary, its heading or the end of the log."""
+    users = table(spark, sf, "events").select("user_id").distinct()
+    k = F.col("user_id") % 3
+    lines = F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.when((i == 300) & (k != 2), "NBO analysis").when((i == 700) & (k == 0), "Summary of Natural Population Analysis").otherwise(F.concat(F.lit("line "), (i + 1).cast("string"))))
+    rows = users.select("user_id", X.population(F.array_join(lines, "\n")).alias("t"))
+    return rows.select("user_id", F.size(F.split("t", "\n")).alias("n_lines"), F.split("t", "\n")[0].alias("head"))
