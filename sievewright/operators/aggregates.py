@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 def shares(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count and share of each value in its group; null is a value."""
     counted = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*by)) if by else F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return counted.withColumn("p", F.col("n") / total)
+    if not by:
+        return counted.crossJoin(F.broadcast(df.agg(F.count("*").alias("__total")))).withColumn("p", F.col("n") / F.col("__total")).drop("__total")
+    return counted.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
 def concentration(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -56,3 +56,22 @@ def close_pairs(df: DataFrame, by: list[str], at: str, width: int, key: str, dis
     own = F.floor(F.col("__t") / width) == F.col("__c")
     near = (F.abs(F.col("__t") - F.col("__u")) <= width) & F.when(own, F.col("__k") < F.col("__l")).otherwise(F.lit(True))
     return met.where(near).select(F.least("__k", "__l").alias("a"), F.greatest("__k", "__l").alias("b"))
+
+
+def merge_sources(first: DataFrame, second: DataFrame, on: str, trusted: dict[str, str]) -> DataFrame:
+    """One row for each key of either table: each field of `trusted` from the source it names ("first" or
+    "second") and, where that has none, from the other; `source` tells which have the key. Null keys
+    don't meet."""
+    side = lambda df, name: df.select(F.col(on), *(F.col(c).alias(f"__{name}_{c}") for c in trusted), F.lit(True).alias(f"__{name}"))
+    both = side(first, "first").join(side(second, "second"), on, "full")
+    other = {"first": "second", "second": "first"}
+    values = [F.coalesce(f"__{t}_{c}", f"__{other[t]}_{c}").alias(c) for c, t in trusted.items()]
+    source = F.when(F.col("__first") & F.col("__second"), "both").when(F.col("__first"), "first").otherwise("second")
+    return both.select(on, *values, source.alias("source"))
+
+
+def key_differences(first: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
+    """Keys that only one table has, with the one that has them: missing (from second) or extra."""
+    lost = first.select(*on).distinct().join(second.select(*on).distinct(), on, "left_anti").withColumn("difference", F.lit("missing"))
+    more = second.select(*on).distinct().join(first.select(*on).distinct(), on, "left_anti").withColumn("difference", F.lit("extra"))
+    return lost.unionByName(more)

@@ -44,11 +44,9 @@ def build_index(docs: DataFrame, tokens: str) -> tuple[DataFrame, DataFrame]:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """(query_id, doc_id, score) of all pairs that share a term; queries has query_id and tokens.
-
-    Query terms are counted (a repeated one scores twice) and, if few, broadcast, so that of the
-    postings only theirs are ever shuffled.
-    """
+    """(query_id, doc_id, score) of all pairs that share a term; queries has query_id and tokens. Query
+    terms are counted (a repeated one scores twice). For the best documents of each query take bm25_top,
+    which makes no row for each pair."""
     asked = queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     postings, terms = build_index(docs, tokens)
     average = docs.agg(F.avg(F.size(tokens)).alias("avgdl"))
@@ -59,6 +57,93 @@ def bm25(docs: DataFrame, queries: DataFrame, tokens: str = "tokens") -> DataFra
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
+def _sums(asked: list[tuple], part):
+    """A function of Arrow batches (id, list of words) and `pick`: for some documents at a time, the sums
+    over the words that each shares with each query of weight * part(count, size), as a matrix.
+
+    pick(query ids, ids, sizes, sums, whether any word is shared) returns the (query, id, value) kept.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    qids = np.array(sorted({a[0] for a in asked}), np.int64)
+    place = {t: i for i, t in enumerate(sorted({a[1] for a in asked}))}
+    word = np.array([place[a[1]] for a in asked], np.int64)
+    order = np.argsort(word, kind="stable")
+    asker = np.searchsorted(qids, np.array([a[0] for a in asked], np.int64))[order]
+    weight = np.array([a[2] for a in asked], float)[order]
+    first = np.searchsorted(word[order], np.arange(len(place) + 1))
+    step = max(1, 4_000_000 // max(1, len(qids)))
+
+    def run(batches, pick):
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                ids, lists = batch.column(0).slice(a, step).to_numpy(zero_copy_only=False), batch.column(1).slice(a, step)
+                sizes = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten().dictionary_encode()
+                known = np.array([place.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
+                at = known[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int64)
+                doc = np.repeat(np.arange(len(ids)), sizes)[at >= 0]
+                pair, count = np.unique(doc * max(1, len(place)) + at[at >= 0], return_counts=True)
+                doc, at = pair // max(1, len(place)), pair % max(1, len(place))
+                value = part(count, sizes[doc])
+                many = first[at + 1] - first[at]
+                rows = np.repeat(np.arange(len(at)), many)
+                which = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many) + first[at[rows]]
+                cell = asker[which] * len(ids) + doc[rows]
+                total = np.bincount(cell, weight[which] * value[rows], len(qids) * len(ids)).reshape(len(qids), len(ids))
+                met = np.bincount(cell, minlength=total.size).reshape(total.shape) > 0
+                q, d, v = pick(qids, ids, sizes, total, met)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(v, pa.float64())], ["query_id", "doc_id", "score"])
+
+    return run
+
+
+#: Rows of (query, term, weight) that are sent to every task, some 100 bytes each.
+SENT_ROWS = 500_000
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, tokens: str = "tokens") -> DataFrame:
+    """(query_id, doc_id, score, rank) of the k best documents of each query that share a term with it,
+    by the score to 9 places, ties by id. doc_id and query_id are integers.
+
+    Document frequencies are partial counts over each document's distinct terms; documents themselves
+    are never shuffled. The queries' weights (counted, few) go to every task, which scores its documents
+    in batches as sums over (document, term) and hands on k rows a query and batch. With more weights
+    than that the join of `bm25` does the same.
+    """
+    words = F.array_distinct(tokens)
+    n, avgdl = docs.agg(F.count("*"), F.avg(F.size(tokens))).first()
+    asked = queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    frequency = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = frequency.select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean_idf"))
+    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
+    weights = raw.join(F.broadcast(asked) if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", (F.col("times") * idf).alias("w"))
+    got = weights.limit(SENT_ROWS + 1).collect()
+    if len(got) > SENT_ROWS:
+        w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+        return bm25(docs, queries, tokens).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    import numpy as np
+
+    sums = _sums([(r["query_id"], r["term"], r["w"]) for r in got], lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / avgdl)))
+
+    def best_of(qids, ids, sizes, total, met):
+        rounded = np.where(met, np.round(total, 9), -np.inf)
+        if rounded.shape[1] > k:  # all that reach the k-th best, ties included
+            rounded[rounded < np.partition(rounded, -k, axis=1)[:, [-k]]] = -np.inf
+        q, d = np.nonzero(np.isfinite(rounded))
+        order = np.lexsort((ids[d], -rounded[q, d], q))
+        q, d = q[order], d[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return qids[q[keep]], ids[d[keep]], total[q[keep], d[keep]]
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")).where("doc_id is not null")
+    best = rows.mapInArrow(lambda batches: sums(batches, best_of), "query_id long, doc_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def top_then_floor(scored: DataFrame, k: int, floor: float = MIN_SCORE, candidate: Column | None = None) -> DataFrame:
     """The k best of each query, and of those the ones that reach the floor; ties by id."""
     rows = scored if candidate is None else scored.where(candidate)
@@ -89,13 +174,40 @@ def tanimoto(a: str, b: str) -> Column:
 def similar_sets(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     """(query_id, doc_id, similarity) at least floor, of (query_id, members) against (doc_id, members).
 
-    Only pairs that share a member meet; sizes come along, so nothing else is looked at.
+    Ids are integers. Where all queries' members are few enough to be sent to every task, documents stay
+    where they are and shared members are counted there; only similar pairs leave. Otherwise sets are
+    joined: a set of n members needs one of its n - ceil(floor * n) + 1 rarest ones in any similar set,
+    so only these are joined on (prefix filter), and the pairs found are compared whole.
     """
-    l = left.select("query_id", F.explode(F.array_distinct("members")).alias("m"), F.size(F.array_distinct("members")).alias("nl"))
-    r = right.select("doc_id", F.explode(F.array_distinct("members")).alias("m"), F.size(F.array_distinct("members")).alias("nr"))
-    l = F.broadcast(l) if l.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else l
-    shared = r.join(l, "m").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"), F.first("nl").alias("nl"), F.first("nr").alias("nr"))
-    return shared.withColumn("similarity", F.col("shared") / (F.col("nl") + F.col("nr") - F.col("shared"))).where(F.col("similarity") >= floor).select("query_id", "doc_id", "similarity")
+    sent = left.select(F.col("query_id").cast("long"), F.explode(F.array_distinct("members")).alias("m")).where("query_id is not null and m is not null").limit(SENT_ROWS + 1).collect()
+    if len(sent) <= SENT_ROWS:
+        import numpy as np
+
+        n = {}
+        for r in sent:
+            n[r["query_id"]] = n.get(r["query_id"], 0) + 1
+        sums = _sums([(r["query_id"], r["m"], 1.0) for r in sent], lambda count, size: np.ones(len(count)))
+
+        def similar(qids, ids, sizes, total, met):
+            own = np.array([n[q] for q in qids.tolist()], float)
+            value = total / np.maximum(own[:, None] + sizes[None, :] - total, 1)
+            q, d = np.nonzero(met & (value >= floor))
+            return qids[q], ids[d], value[q, d]
+
+        rows = right.select(F.col("doc_id").cast("long"), F.array_distinct("members").alias("members")).where("doc_id is not null and members is not null")
+        return rows.mapInArrow(lambda batches: sums(batches, similar), "query_id long, doc_id long, score double").withColumnRenamed("score", "similarity")
+    l = left.select("query_id", F.array_distinct("members").alias("a")).where(F.size("a") > 0)
+    r = right.select("doc_id", F.array_distinct("members").alias("b")).where(F.size("b") > 0)
+    rare = r.select(F.explode("b").alias("m")).groupBy("m").agg(F.count("*").alias("df"))
+    wanted = l.select("query_id", F.size("a").alias("n"), F.explode("a").alias("m")).join(rare, "m")
+    # members that no document has are the rarest, so they come off the prefix first
+    had = wanted.groupBy("query_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "m"))).alias("found"))
+    keep = F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("found"))
+    prefix = had.select("query_id", F.explode(F.transform(F.slice("found", 1, F.greatest(keep, F.lit(0)).cast("int")), lambda x: x["m"])).alias("m"))
+    prefix = F.broadcast(prefix) if prefix.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else prefix
+    met = r.select("doc_id", F.explode("b").alias("m")).join(prefix, "m").select("query_id", "doc_id").distinct()
+    pairs = met.join(r, "doc_id").join(F.broadcast(l) if l.limit(20_001).count() <= 20_000 else l, "query_id")
+    return pairs.select("query_id", "doc_id", tanimoto("a", "b").alias("similarity")).where(F.col("similarity") >= floor)
 
 
 def tiers(pool: DataFrame, floor: float = SIMILARITY_FLOOR) -> DataFrame:

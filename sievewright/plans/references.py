@@ -97,3 +97,21 @@ def first_filled(*columns: Column) -> Column:
 
 def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+def rule(text: Column) -> Column:
+    """(code, max_attempts) of a retry rule in JSON, in any of its three spellings; "any" and 2 by default."""
+    get = lambda *paths: F.coalesce(*(F.get_json_object(text, p) for p in paths))
+    code = F.coalesce(get("$.code", "$.match.error_code", "$.when.code_in[0]"), F.lit("any"))
+    return F.struct(code.alias("code"), F.coalesce(get("$.max_attempts", "$.retries").try_cast("int"), F.lit(2)).alias("max_attempts"))
+
+
+def with_value(nested: Column, path: str, value: Column) -> Column:
+    """A struct with the field at a dotted path replaced or added; all others stay."""
+    return nested.withField(path, value)
+
+
+def json_value(text: Column, path: str) -> Column:
+    """The value at a dotted path of JSON text; numbers are places in lists. Null if there is none."""
+    steps = "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split("."))
+    return F.get_json_object(text, f"${steps}")

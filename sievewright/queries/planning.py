@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..functions import geometry as G
-from ..plans import checks, references
+from ..plans import checkers, checks, references
 from ..plans.expressions import to_column
 from ..registry import query, table
 from .records import choose
@@ -103,13 +103,23 @@ def q_parse_ion(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", ion["symbol"].alias("symbol"), ion["charge"].alias("charge"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.name, b.name) AS name, coalesce(b.bal, a.bal) AS bal, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'first' ELSE 'second' END AS source FROM (SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal FROM supplier WHERE s_suppkey % 3 <> 0) a FULL JOIN (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey <= 150) b ON a.k = b.k")
+@query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.name, b.name) AS name, coalesce(b.bal, a.bal) AS bal, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'first' ELSE 'second' END AS source
+  FROM (SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal FROM supplier) a FULL JOIN (SELECT c_custkey + 40 AS k, c_name AS name, c_acctbal AS bal FROM customer) b ON a.k = b.k""")
 def q_merge_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """Two sources, each field from the one it is trusted in."""
-    a = table(spark, sf, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("n1"), F.col("s_acctbal").alias("b1"), F.lit(True).alias("in1"))
-    b = table(spark, sf, "customer").where("c_custkey <= 150").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n2"), F.col("c_acctbal").alias("b2"), F.lit(True).alias("in2"))
-    both = a.join(b, "k", "full")
-    return both.select("k", F.coalesce("n1", "n2").alias("name"), F.coalesce("b2", "b1").alias("bal"), F.when(F.col("in1") & F.col("in2"), "both").when(F.col("in1"), "first").otherwise("second").alias("source"))
+    """Two sources whose keys overlap in part, each field from the one it is trusted in."""
+    from ..operators.joins import merge_sources
+
+    a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
+    b = table(spark, sf, "customer").select((F.col("c_custkey") + 40).alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+    return merge_sources(a, b, "k", {"name": "first", "bal": "second"})
+
+
+@query("SELECT s_suppkey AS k, 'missing' AS difference FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey + 40 FROM customer) UNION ALL SELECT c_custkey + 40, 'extra' FROM customer WHERE c_custkey + 40 NOT IN (SELECT s_suppkey FROM supplier)")
+def q_key_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that only one of two tables has, both ways."""
+    from ..operators.joins import key_differences
+
+    return key_differences(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")), table(spark, sf, "customer").select((F.col("c_custkey") + 40).alias("k")), ["k"])
 
 
 # spectra and energies --------------------------------------------------------------------------------
@@ -162,15 +172,14 @@ def q_normalize_rule(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     attempts = F.when(F.col("p_size") % 4 == 0, F.col("p_size"))
     spelled = F.when(k == 0, F.to_json(F.struct(F.col("p_brand").alias("code"), attempts.alias("max_attempts")))).when(k == 1, F.to_json(F.struct(F.struct(F.col("p_type").alias("error_code")).alias("match"), attempts.alias("retries")))).otherwise(F.to_json(F.struct(attempts.alias("max_attempts"))))
-    get = lambda *paths: F.coalesce(*(F.get_json_object("rule", p) for p in paths))
-    return table(spark, sf, "part").select("p_partkey", spelled.alias("rule")).select("p_partkey", F.coalesce(get("$.code", "$.match.error_code"), F.lit("any")).alias("code"), F.coalesce(get("$.max_attempts", "$.retries").cast("int"), F.lit(2)).alias("max_attempts"))
+    return table(spark, sf, "part").select("p_partkey", references.rule(spelled).alias("r")).select("p_partkey", "r.code", "r.max_attempts")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value * 2 AS b FROM events")
 def q_set_path(spark: SparkSession, sf: str) -> DataFrame:
     """A nested field replaced in a copy; the others stay."""
     s = F.struct(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.lit(0.0).alias("b")).alias("a"))
-    return table(spark, sf, "events").select("event_id", s.withField("a.b", F.col("value") * 2).alias("s")).select("event_id", F.col("s.a.k").alias("k"), F.col("s.a.b").alias("b"))
+    return table(spark, sf, "events").select("event_id", references.with_value(s, "a.b", F.col("value") * 2).alias("s")).select("event_id", F.col("s.a.k").alias("k"), F.col("s.a.b").alias("b"))
 
 
 @query(f"WITH n AS ({NODES}) SELECT plan, 'flowchart TD' || chr(10) || string_agg('  ' || pos || '[' || tool || ']', chr(10) ORDER BY pos, tool, id, kind) AS chart, count(*) FILTER (kind = 'tool') AS n_tool, count(DISTINCT tool) AS n_tools FROM n GROUP BY 1")
@@ -196,3 +205,98 @@ def q_auto_spin(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = spark.sql(f"SELECT p_partkey, {SPIN_INPUT} FROM {{part}}", part=table(spark, sf, "part"))
     return rows.select("p_partkey", multiplicity(F.col("metal"), F.col("ox"), F.col("shape"), F.col("ligands")).alias("multiplicity"))
+
+
+TOOLS = ["run_opt_job", "run_freq_job", "run_sp_energy", "run_spectrum_job", "run_scan_job", "run_ts_opt_job"]
+_tools = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TOOLS))
+PLAN = f"""SELECT l_orderkey AS plan, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS pos, CASE WHEN l_quantity > 45 THEN 'llm' ELSE 'tool' END AS kind, CASE CAST(l_partkey AS BIGINT) % 6 {_tools} END AS tool,
+  CASE WHEN l_discount > 0.05 THEN 'E_total_eh' WHEN l_tax > 0.05 THEN 'ir_spectrum' ELSE 'Scan_Results' END AS product, CASE WHEN l_discount < 0.02 THEN 'B3LYP SMD(water)' ELSE 'B3LYP' END AS method FROM lineitem"""
+
+
+def plans(spark: SparkSession, sf: str) -> DataFrame:
+    """A plan for each order, a node for each of its lines."""
+    rows = spark.sql(PLAN.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf, "lineitem"))
+    none = F.lit(None).cast("string")
+    return rows.select("plan", "pos", F.concat(F.lit("n"), F.col("pos").cast("string")).alias("id"), "kind", "tool", none.alias("input_id"), none.alias("output_id"), F.create_map(F.lit("method"), F.col("method")).alias("args"), F.array("product").alias("products"))
+
+
+def _has(tool: str) -> str:
+    return f"coalesce(bool_or(kind = 'tool' AND tool = '{tool}'), false)"
+
+
+def _first(tool: str) -> str:
+    return f"min(pos) FILTER (kind = 'tool' AND tool = '{tool}')"
+
+
+_checks = {
+    "sp": {"has_sp_node": _has("run_sp_energy"), "no_freq_job": f"NOT {_has('run_freq_job')}", "has_energy_art": "bool_or(product = 'E_total_eh')"},
+    "spectrum": {"has_spectrum_node": _has("run_spectrum_job"), "no_plain_freq": f"NOT {_has('run_freq_job')}", "has_opt_node": _has("run_opt_job"), "spectrum_after_opt": f"coalesce({_first('run_spectrum_job')} > {_first('run_opt_job')}, false)", "ir_spectrum_art": "bool_or(product = 'ir_spectrum')", "no_llm_node": "NOT bool_or(kind = 'llm')"},
+    "ts": {"has_scan_node": _has("run_scan_job"), "has_ts_opt_node": _has("run_ts_opt_job"), "has_freq_node": f"{_has('run_freq_job')} OR {_has('run_spectrum_job')}", "ts_opt_after_scan": f"coalesce({_first('run_ts_opt_job')} > {_first('run_scan_job')}, false)", "freq_after_ts_opt": f"coalesce(least({_first('run_freq_job')}, {_first('run_spectrum_job')}) > {_first('run_ts_opt_job')}, false)", "no_llm_node": "NOT bool_or(kind = 'llm')"},
+}
+_rows = " UNION ALL ".join(f"SELECT plan, '{t}' AS task, '{c}' AS check_name, {sql} AS ok FROM n GROUP BY 1" for t, cs in _checks.items() for c, sql in cs.items())
+
+
+@query(f"WITH n AS ({PLAN}) SELECT task, check_name, count(*) AS n, count(*) FILTER (ok) AS passed FROM ({_rows}) GROUP BY 1, 2")
+def q_task_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """How many plans pass each check of three tasks."""
+    out = None
+    for task in _checks:
+        one = checkers.check(plans(spark, sf), task).select(F.lit(task).alias("task"), F.col("check").alias("check_name"), "ok")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("task", "check_name").agg(F.count("*").alias("n"), F.count_if("ok").alias("passed"))
+
+
+@query(f"""WITH n AS ({PLAN}), a AS (SELECT plan, bool_or(method LIKE '%SMD%') AS wet, {_has('run_freq_job')} AS freq, {_has('run_sp_energy')} AS sp, {_has('run_opt_job')} AS opt, count(*) FILTER (tool = 'run_sp_energy') AS n_sp FROM n WHERE kind = 'tool' GROUP BY 1)
+  SELECT plan, 'pka' AS task, wet AS first_ok, freq AND NOT sp AS second_ok FROM a UNION ALL SELECT plan, 'sp', NOT freq, n_sp >= 3 FROM a""")
+def q_audit_chemistry(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether plans compute the right thing: a solvent and frequencies for a pKa, enough single points."""
+    out = None
+    for task, one, two in (("pka", "solvation_in_method", "freq_not_sp"), ("sp", "no_needless_freq", "single_sp_per_compound")):
+        told = checkers.audit(plans(spark, sf), task).groupBy("plan").agg(*(F.bool_or(F.when(F.col("check") == c, F.col("ok"))).alias(n) for c, n in ((one, "first_ok"), (two, "second_ok"))))
+        told = told.select("plan", F.lit(task).alias("task"), "first_ok", "second_ok")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query("""WITH a AS (SELECT user_id AS run, CASE event_type WHEN 'click' THEN 'pka_acid' WHEN 'view' THEN 'G_acid_eh' ELSE 'E_total' END AS name, CASE WHEN event_type = 'click' THEN value - 20 ELSE -value END AS number FROM events)
+  SELECT run, count(*) FILTER (name = 'pka_acid') > 0 AS pka_present, coalesce(bool_or(name = 'pka_acid' AND number > -20 AND number < 60), false) AS pka_reasonable, count(*) FILTER (name = 'G_acid_eh') >= 2 AS G_eh_present, count(*) FILTER (name = 'G_acid_eh' AND NOT number < 0) = 0 AS G_negative, count(*) FILTER (name = 'E_total') > 0 AS energy_present FROM a GROUP BY 1""")
+def q_result_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks of what runs left, one column each."""
+    t = F.col("event_type")
+    name = F.when(t == "click", "pka_acid").when(t == "view", "G_acid_eh").otherwise("E_total")
+    a = table(spark, sf, "events").select(F.col("user_id").alias("run"), name.alias("name"), F.when(t == "click", F.col("value") - 20).otherwise(-F.col("value")).alias("number"), F.lit(None).cast("array<map<string,string>>").alias("items"))
+    told = checkers.check_results(a, "pka").unionByName(checkers.check_results(a, "sp").where("check = 'energy_present'"))
+    names = ["pka_present", "pka_reasonable", "G_eh_present", "G_negative", "energy_present"]
+    return told.groupBy("run").agg(*(F.bool_or(F.when(F.col("check") == n, F.col("ok"))).alias(n) for n in names))
+
+
+@query("SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{task}'" for task, words in checkers.KEYWORDS.items()) + " ELSE 'struct' END AS task FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
+def q_detect_checker(spark: SparkSession, sf: str) -> DataFrame:
+    """The first task whose words a text has."""
+    return table(spark, sf, "documents").select("doc_id", checkers.detect(F.col("text")).alias("task"))
+
+
+@query("""WITH res AS (SELECT user_id AS run, event_id AS pos, event_type AS field, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS value FROM events), w AS (SELECT DISTINCT user_id AS run, f AS field FROM events, (VALUES ('click'), ('view'), ('never')) v(f))
+  SELECT w.run, w.field, arg_min(value, pos) FILTER (value IS NOT NULL) AS value FROM w LEFT JOIN res ON res.run = w.run AND res.field = w.field GROUP BY 1, 2""")
+def q_final_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Each field asked for, from the first result of the run that has it."""
+    from ..plans import artifacts
+
+    e = table(spark, sf, "events")
+    results = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("pos"), F.col("event_type").alias("field"), F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("string")).alias("value"))
+    wanted = e.select(F.col("user_id").alias("run")).distinct().withColumn("field", F.explode(F.array(*map(F.lit, ("click", "view", "never")))))
+    return artifacts.collected(results, wanted)
+
+
+@query(f"WITH n AS (SELECT plan, pos, 'g' || pos % 2 AS id FROM ({PLAN})) SELECT plan, pos, CASE WHEN k > 1 THEN id || '_' || k ELSE id END AS id FROM (SELECT *, row_number() OVER (PARTITION BY plan, id ORDER BY pos) AS k FROM n)")
+def q_dup_fix(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that a plan has more than once, made different."""
+    nodes = plans(spark, sf).withColumn("id", F.concat(F.lit("g"), (F.col("pos") % 2).cast("string")))
+    return checkers.duplicates_fixed(nodes).select("plan", "pos", "id")
+
+
+@query("SELECT user_id, event_id, ts, lead(event_id) OVER w AS next_event, event_id - lag(event_id) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def q_lead_lag(spark: SparkSession, sf: str) -> DataFrame:
+    """The next row of a group, and the distance from the one before."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, sf, "events").select("user_id", "event_id", "ts", F.lead("event_id").over(w).alias("next_event"), (F.col("event_id") - F.lag("event_id").over(w)).alias("gap"))

@@ -32,14 +32,14 @@ BM25 = f"""d AS (SELECT doc_id, lang, source, {TOKENS} AS tokens FROM documents)
 @query(f"WITH {BM25} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5 AND score >= 0.5")
 def q_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: the 5 best documents for each benchmark item, then the score floor."""
-    hits = R.top_then_floor(R.bm25(corpus(spark, sf), asked(spark, sf)), 5)
+    hits = R.bm25_top(corpus(spark, sf), asked(spark, sf), 5).where(F.col("score") >= R.MIN_SCORE)
     return hits.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25}, ok AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score >= 3) SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ok WHERE rank <= 20")
 def q_bm25_pool_floor(spark: SparkSession, sf: str) -> DataFrame:
-    """The floor first, then the first max(20, k)."""
-    hits = R.floor_then_top(R.bm25(corpus(spark, sf), asked(spark, sf)), 5, 3.0)
+    """The floor first, then the first max(20, k); as both go by the score, the order of the two is the same."""
+    hits = R.bm25_top(corpus(spark, sf), asked(spark, sf), R.POOL).where(F.col("score") >= 3.0)
     return hits.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -81,7 +81,7 @@ def q_tiered_rerank(spark: SparkSession, sf: str) -> DataFrame:
 
     Only the ranked pool goes to the similarity.
     """
-    pool = R.floor_then_top(R.bm25(corpus(spark, sf), asked(spark, sf)), 5).select("query_id", "doc_id", "rank")
+    pool = R.bm25_top(corpus(spark, sf), asked(spark, sf), R.POOL).where(F.col("score") >= R.MIN_SCORE).select("query_id", "doc_id", "rank")
     known = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("known"))
     sets = corpus(spark, sf).select("doc_id", F.array_distinct("tokens").alias("s"))
     wanted = asked(spark, sf).select("query_id", F.array_distinct("tokens").alias("q"))
