@@ -157,7 +157,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: tuple[int,
     lengths = items.select("item_id", F.size("words").alias("length"))
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     lists, _ = common.written(places.join(few(lengths), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", F.col("place").alias("near"), "length")).alias("found")), "places-of")
-    texts = pages.join(few(lists), "doc_id").select("doc_id", words(F.col("text")).alias("words"), "found")
+    # of all texts only those of documents with places are shuffled; their ids are broadcast if few
+    ids = lists.select("doc_id")
+    hit = pages.join(F.broadcast(ids) if lists.count() <= common.BROADCAST_IDS else ids, "doc_id", "left_semi")
+    texts = hit.join(lists.hint("merge"), "doc_id").select("doc_id", words(F.col("text")).alias("words"), "found")
     length = F.col("length")
     wide = texts.select("doc_id", "words", F.inline("found")).withColumn("low", F.greatest(F.col("near") - length + 1, F.lit(0)))
     wide = wide.select("doc_id", "item_id", "near", "length", "low", F.slice("words", F.col("low") + 1, F.col("near") + 2 * length - 1 - F.col("low")).alias("wide"))
