@@ -77,3 +77,32 @@ def fixed_oracle_worst(columns: list[str]) -> list[Column]:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def histogram(name: str, count: str, k: int | None = None) -> Column:
+    """Values with their counts as text, the most frequent first, ties by value; of a group's counted rows."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col(count)).alias("k"), F.col(name).alias("v"))))
+    order = order if k is None else F.slice(order, 1, k)
+    return F.array_join(F.transform(order, lambda x: F.concat(F.coalesce(x["v"].cast("string"), F.lit("")), F.lit(":"), (-x["k"]).cast("string"))), ",")
+
+
+def label_report(df: DataFrame, by: list[str], label: str, k: int) -> DataFrame:
+    """Of each group: n, distinct labels, entropy in bits, and the k most frequent labels with counts."""
+    c = df.groupBy(*by, label).agg(F.count("*").alias("__n"))
+    top = top_values(df, by, label, k).groupBy(*by).agg(histogram(label, "n").alias("top"))
+    n = F.col("__n").cast("double")
+    entropy = F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)
+    return c.groupBy(*by).agg(F.sum("__n").alias("n"), F.count("*").alias("n_distinct"), F.round(entropy, 6).alias("entropy_bits")).join(top, by)
+
+
+def slices(df: DataFrame, slice_col: str, predicted: str, right: Column) -> DataFrame:
+    """Of each slice: n, percent right, and the histogram of what was predicted (few values)."""
+    c = df.groupBy(slice_col, predicted).agg(F.count("*").alias("__n"), F.count_if(right).alias("__ok"))
+    return c.groupBy(slice_col).agg(F.sum("__n").alias("n"), F.round(100.0 * F.sum("__ok") / F.sum("__n"), 6).alias("pct"), histogram(predicted, "__n").alias("predicted"))
+
+
+def ablation(df: DataFrame, by: list[str], passed: str, chem: str, tokens: str) -> DataFrame:
+    """Of each arm: runs, those that pass each kind of check, both rates, mean tokens of runs with any."""
+    ok, right = F.count_if(passed), F.count_if(chem)
+    used = F.when(F.col(tokens) != 0, F.col(tokens))
+    return df.groupBy(*by).agg(F.count("*").alias("runs"), ok.alias("passed"), right.alias("chem_passed"), F.round(100.0 * ok / F.count("*"), 6).alias("pass_pct"), F.round(100.0 * right / F.count("*"), 6).alias("chem_pct"), F.round(F.avg(used), 6).alias("mean_tokens"))

@@ -253,7 +253,7 @@ class Registry:
         """The arguments of all functions."""
         return [row for f in self.functions.values() for row in reflect(f)]
 
-    def call(self, name: str, **args):
+    def call(self, name: str, /, **args):
         """What the function returns, with a status: "ok", or "error" with the message."""
         if name not in self.functions:
             return {"status": "error", "error": f"no function {name}"}

@@ -88,9 +88,12 @@ def q_breakdown_by_class(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(A.percent(f), 6).alias("pct_f"), F.round(A.percent(d), 6).alias("pct_high"), F.round(A.percent(f & d), 6).alias("pct_both"))
 
 
-@query("""SELECT slice, count(*) AS n, round(100 * avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END), 6) AS pct FROM (SELECT CASE WHEN l_linenumber = 1 THEN 'class' ELSE 'rest' END AS slice, l_returnflag FROM lineitem) GROUP BY 1""")
+@query("""WITH s AS (SELECT CASE WHEN l_linenumber = 1 THEN 'class' ELSE 'rest' END AS slice, l_returnflag AS p FROM lineitem), c AS (SELECT slice, p, count(*) AS k FROM s GROUP BY 1, 2)
+  SELECT slice, CAST(sum(k) AS BIGINT) AS n, round(100.0 * sum(k) FILTER (p = 'R') / sum(k), 6) AS pct, string_agg(p || ':' || k, ',' ORDER BY k DESC, p) AS predicted FROM c GROUP BY 1""")
 def q_class_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy(F.when(F.col("l_linenumber") == 1, "class").otherwise("rest").alias("slice")).agg(F.count("*").alias("n"), F.round(A.percent(F.col("l_returnflag") == "R"), 6).alias("pct"))
+    """One class against all others: how often it is right, and what is predicted instead."""
+    rows = table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") == 1, "class").otherwise("rest").alias("slice"), "l_returnflag")
+    return A.slices(rows, "slice", "l_returnflag", F.col("l_returnflag") == "R")
 
 
 @query("SELECT lang, quality, toxic, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
@@ -104,12 +107,12 @@ def q_rollup_tab(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").withColumn("status", F.coalesce("o_orderstatus", F.lit("-"))).rollup("status", F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT event_type, sum(CASE WHEN user_id % 3 = 0 THEN value ELSE 0 END) IS NOT NULL AS seen, round(sum(value) FILTER (user_id % 3 = 0), 4) AS arm_0, round(sum(value) FILTER (user_id % 3 = 1), 4) AS arm_1, round(sum(value) FILTER (user_id % 3 = 2), 4) AS arm_2 FROM events GROUP BY 1")
+@query("""SELECT user_id % 3 AS arm, user_id % 2 = 0 AS skills, count(*) AS runs, count(*) FILTER (event_id % 4 <> 0) AS passed, count(*) FILTER (event_id % 7 <> 0) AS chem_passed, round(100.0 * count(*) FILTER (event_id % 4 <> 0) / count(*), 6) AS pass_pct,
+  round(100.0 * count(*) FILTER (event_id % 7 <> 0) / count(*), 6) AS chem_pct, round(avg(nullif(value, 0)), 6) AS mean_tokens FROM events GROUP BY 1, 2""")
 def q_ablation_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """One column for each arm."""
-    e = table(spark, sf, "events").withColumn("arm", F.concat(F.lit("arm_"), (F.col("user_id") % 3).cast("string")))
-    wide = e.groupBy("event_type").pivot("arm", ["arm_0", "arm_1", "arm_2"]).agg(F.round(F.sum("value"), 4))
-    return wide.withColumn("seen", F.lit(True))
+    """Of each arm with and without skills: runs, passes of both kinds, mean tokens of those that used any."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 3).alias("arm"), (F.col("user_id") % 2 == 0).alias("skills"), (F.col("event_id") % 4 != 0).alias("ok"), (F.col("event_id") % 7 != 0).alias("chem"), "value")
+    return A.ablation(e, ["arm", "skills"], "ok", "chem", "value")
 
 
 @query("""SELECT user_id, coalesce(max(n) FILTER (event_type = 'click'), 0) AS click, coalesce(max(n) FILTER (event_type = 'purchase'), 0) AS purchase, coalesce(max(n) FILTER (event_type = 'view'), 0) AS view FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
@@ -134,11 +137,28 @@ def q_pass_rate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.explode(checks).alias("check_name", "ok")).groupBy("check_name").agg(F.count_if("ok").alias("passed"), F.count("*").alias("runs"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("rate"))
 
 
-@query("""SELECT split, event_type, n, rank FROM (SELECT split, event_type, count(*) AS n, row_number() OVER (PARTITION BY split ORDER BY count(*) DESC, event_type) AS rank FROM (SELECT CASE WHEN user_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, event_type FROM events) GROUP BY 1, 2) WHERE rank <= 3""")
+_split = "SELECT CASE WHEN user_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, event_type FROM events"
+
+
+@query(f"""WITH c AS (SELECT split, event_type, count(*) AS n FROM ({_split}) GROUP BY 1, 2),
+  t AS (SELECT split, string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) AS top FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY split ORDER BY n DESC, event_type) <= 3) GROUP BY 1)
+  SELECT split, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_distinct, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy_bits, any_value(top) AS top FROM c JOIN t USING (split) GROUP BY 1""")
 def q_label_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The most frequent labels of each split."""
+    """Of each split: records, distinct labels, their entropy and the three most frequent."""
     e = table(spark, sf, "events").withColumn("split", F.when(F.col("user_id") % 5 == 0, "val").otherwise("train"))
-    return A.top_values(e, ["split"], "event_type", 3).select("split", "event_type", "n", F.col("rank").cast("long").alias("rank"))
+    return A.label_report(e, ["split"], "event_type", 3)
+
+
+@query(sql("SELECT basis, functional, n, aux FROM (SELECT functional, basis, aux_basis AS aux, count(*) AS n FROM r WHERE functional <> '' AND basis <> '' AND aux_basis <> '' GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY functional, basis ORDER BY n DESC, aux) = 1"))
+def q_aux_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The most frequent auxiliary basis of each pair."""
+    whole = records(spark, sf).where("functional <> '' and basis <> '' and aux_basis <> ''")
+    return mode(whole, ["functional", "basis"], ["aux_basis"]).withColumnRenamed("aux_basis", "aux").select("basis", "functional", "n", "aux")
+
+
+@query(sql("SELECT specialist_cell, functional, basis, count(*) AS n FROM r WHERE functional <> '' AND basis <> '' GROUP BY 1, 2, 3"))
+def q_pair_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return records(spark, sf).where("functional <> '' and basis <> ''").groupBy("specialist_cell", "functional", "basis").agg(F.count("*").alias("n"))
 
 
 # joins ----------------------------------------------------------------------------------------------

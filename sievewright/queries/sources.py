@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..determinism import uniform_sql
 from ..registry import query, table
 from ..sources import records as S
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it goes when the driver ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="sievewright-")  # one process: what it sees is shared
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/sievewright-{name}-{uuid.uuid4().hex}"
 
     def clear():
@@ -80,3 +90,24 @@ def q_stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return windowed(e, "6 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT p_partkey FROM part ORDER BY " + uniform_sql(21, "p_partkey") + ", p_partkey LIMIT 25)")
+def q_scan_csv_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample of a CSV file's rows: the feature is its size."""
+    path = scratch(spark, "csv")
+    S.write_csv(table(spark, sf, "part").select("p_partkey", "p_name"), path)
+    return S.csv_sample(spark, path, "p_partkey long, p_name string", "p_partkey", 25, 21)
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 2 THEN NULL WHEN n_nationkey % 3 = 0 THEN 'own ' || n_nationkey ELSE 'last ' || n_nationkey END AS text FROM nation")
+def q_scan_text_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A job's own text file, else the last one of its folder by name."""
+    n = table(spark, sf, "nation").select("n_nationkey")
+    k = F.col("n_nationkey").cast("string")
+    file = lambda name, text: F.struct(F.concat(F.lit("job"), k).alias("folder"), name.alias("stem"), F.concat(F.lit(text), k).alias("text"))
+    a, b, own = file(F.lit("a"), "first "), file(F.lit("b"), "last "), file(F.concat(F.lit("label"), k), "own ")
+    held = F.when(F.col("n_nationkey") % 3 == 0, F.array(a, own, b)).when(F.col("n_nationkey") % 3 == 1, F.array(a, b))
+    files = n.select(F.inline(held))
+    jobs = n.select("n_nationkey", F.concat(F.lit("job"), k).alias("folder"), F.concat(F.lit("label"), k).alias("label"))
+    return S.text_of(jobs, files).select("n_nationkey", "text")

@@ -127,3 +127,31 @@ def report(df: DataFrame, title: str, most_rows: int = 1000) -> str:
         raise ValueError(f"more than {most_rows} rows")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", r"\|") for c in cells) + " |"
     return "\n".join([f"# {title}", "", line(df.columns), line(["---"] * len(df.columns)), *(line(r) for r in rows)]) + "\n"
+
+
+def csv_sample(spark: SparkSession, path: str, schema: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows of a CSV file with a header, those with the least draws of their key; all if there are fewer."""
+    from ..operators.sampling import reservoir
+
+    return reservoir(spark.read.schema(schema).option("header", True).csv(path), key, n, seed)
+
+
+def text_of(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """jobs (folder, label, ...) with the text of the file in the folder that has the label as its stem,
+    else of the last one by stem; null if the folder has none. files: folder, stem, text."""
+    last = files.groupBy("folder").agg(F.max_by("text", "stem").alias("__last"))
+    own = files.select("folder", F.col("stem").alias("label"), F.col("text").alias("__own"))
+    rows = jobs.join(own, ["folder", "label"], "left").join(last, "folder", "left")
+    return rows.select(*(F.col(c) for c in jobs.columns), F.coalesce("__own", "__last").alias("text"))
+
+
+def write_report(spark: SparkSession, df: DataFrame, folder: str, title: str, most_rows: int = 1000) -> None:
+    """A small result as JSON lines and as Markdown in a folder of the store."""
+    text = report(df, title, most_rows)
+    df.coalesce(1).write.mode("overwrite").json(f"{folder}/json")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/markdown")
+
+
+def write_coverage(coverage: DataFrame, path: str) -> None:
+    """A coverage record (one row) as one line of JSON."""
+    coverage.coalesce(1).write.mode("overwrite").json(path)
