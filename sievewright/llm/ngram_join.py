@@ -446,7 +446,7 @@ def jaccard_groups(docs: DataFrame, *, similarity: tuple[int, int] = (4, 5), fre
     another such text. Ids that are null or repeat: as in `common`. frequent_share: shingles in more
     than this share of documents are left out of the first sketches, never of a comparison.
     """
-    with common.arrow_batches(docs.sparkSession, 16):
+    with common.arrow_batches(docs.sparkSession, 8):
         return _jaccard_groups(docs, similarity, frequent_share, id_col, text_col)
 
 
@@ -466,7 +466,7 @@ def _jaccard_groups(docs: DataFrame, similarity: tuple[int, int], frequent_share
     member = documents.join(classes, ["n", "x", "s"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     member, _ = common.written(member, "classes")
 
-    bands, n_buckets = Bands(num, den), common.buckets(docs, 12)
+    bands, n_buckets = Bands(num, den), common.buckets(docs, 6)
     copies, _ = common.written(member.where("doc_id <> rep").select("doc_id"), "copies")
     firsts = rows.join(_limited(copies), "doc_id", "left_anti")
     homes = common.homes(n_buckets)

@@ -134,6 +134,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
     rows = rows.withColumn("long_one", size > group_bytes).select("doc_id", "text", group.alias("group"))
     parts = min(max(12, groups), common.MOST_PARTITIONS)
     homes = common.homes(parts)
-    dealt = rows.mapInArrow(tokens, "doc_id long, ids binary, size int, group long, home long").repartition(parts, "home")
+    # the ids are a table of their own: batches of texts stay small, and a lost group isn't encoded again
+    with common.arrow_batches(docs.sparkSession, 8):
+        ids, _ = common.written(rows.mapInArrow(tokens, "doc_id long, ids binary, size int, group long, home long"), "ids", "snappy")
+    dealt = ids.repartition(parts, "home")
     out = dealt.groupBy("home", "group").applyInArrow(pack, schema)
     return out.withColumn("doc_id", common.id_out())
