@@ -176,11 +176,12 @@ def q_features_cv(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("split_fold", "entry_id", "is_test", F.size(elements).cast("long").alias("n_elements"), F.aggregate(elements, F.lit(0.0), lambda a, x: a + x).cast("long").alias("hits"))
 
 
-@query("SELECT o_orderkey, l_partkey, p_size AS n_atoms FROM (SELECT l_orderkey AS o_orderkey, l_partkey, p_size, row_number() OVER (PARTITION BY l_orderkey ORDER BY p_size DESC, l_linenumber) AS k FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE k = 1")
+@query("SELECT o_orderkey, l_partkey, p_size AS n_atoms FROM (SELECT l_orderkey AS o_orderkey, l_partkey, p_size, row_number() OVER (PARTITION BY l_orderkey ORDER BY p_size DESC, l_linenumber, l_partkey) AS k FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE k = 1")
 def q_representative(spark: SparkSession, sf: str) -> DataFrame:
     """The largest part of each order, the first of equals."""
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber").join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("n_atoms")), "l_partkey")
-    return V.representative(rows, ["o_orderkey"], "n_atoms", "l_linenumber").select("o_orderkey", "l_partkey", "n_atoms")
+    rows = rows.withColumn("pos", F.struct("l_linenumber", "l_partkey"))
+    return V.representative(rows, ["o_orderkey"], "n_atoms", "pos").select("o_orderkey", "l_partkey", "n_atoms")
 
 
 @query(sql(f"""SELECT upload_id, entry_id, n_atoms, charge, multiplicity, 'SP' AS task_type, {SYSTEM_SQL} AS system_type, 'bench' AS specialist_cell FROM r WHERE upload_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY upload_id ORDER BY coalesce(n_atoms, -1) DESC, entry_id) = 1"""))
