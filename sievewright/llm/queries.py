@@ -31,7 +31,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("spans")
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ known to be cut), so a passage in a third of all documents brings an entry for e
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -343,12 +343,12 @@ def _kept(batches, depth: int):
                 at = b
             left.append(text[at:])
             kept = b"".join(left)
-            out.append((docs[r], len(text) - len(kept), [{"first": a, "after": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept))
-        cols = list(zip(*out)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], ["doc_id", "n_removed", "spans", "kept_sha256", "kept"])
+            out.append((docs[r], len(text) - len(kept), [{"first": a, "after": b} for a, b in spans], kept))
+        cols = list(zip(*out)) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))), pa.array(cols[3], pa.binary())], ["doc_id", "n_removed", "spans", "kept"])
 
 
-KEPT = "doc_id long, n_removed long, spans array<struct<first: long, after: long>>, kept_sha256 string, kept binary"
+KEPT = "doc_id long, n_removed long, spans array<struct<first: long, after: long>>, kept binary"
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -356,8 +356,8 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= common.BROADCAST_IDS else ids, "doc_id", how)
 
 
-def cut_repeats(docs: DataFrame, *, depth: int = 100, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, kept (bytes).
+def cut_repeats(docs: DataFrame, *, depth: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256 (of kept), kept (bytes).
 
     A byte goes if a string of `depth` bytes that covers it also starts earlier: in a document with a
     smaller id, or further left in the same one. Strings are judged on the input and never cross
@@ -369,10 +369,10 @@ def cut_repeats(docs: DataFrame, *, depth: int = 100, id_col: str = "doc_id", te
     if not GRAM + 8 <= depth <= 256:
         raise ValueError(f"depth must be from {GRAM + 8} to 256")
     with common.arrow_batches(docs.sparkSession, 16):
-        return _cut_repeats(docs, depth, id_col, text_col, with_kept)
+        return _cut_repeats(docs, depth, id_col, text_col)
 
 
-def _cut_repeats(docs: DataFrame, depth: int, id_col: str, text_col: str, with_kept: bool) -> DataFrame:
+def _cut_repeats(docs: DataFrame, depth: int, id_col: str, text_col: str) -> DataFrame:
     rows = common.keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     sums, _ = common.written(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "digests")
     # written, so that the join below is one that can part a text with very many copies
@@ -393,17 +393,14 @@ def _cut_repeats(docs: DataFrame, depth: int, id_col: str, text_col: str, with_k
 
     ids, _ = common.written(cuts.select("doc_id").distinct(), "ids")
     lists = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
-    columns = ["doc_id", "n_removed", "spans", "kept_sha256"] + (["kept"] if with_kept else [])
-    changed = _only(work, ids, "left_semi").join(lists, "doc_id").select("doc_id", "text", "cuts").mapInArrow(lambda x: _kept(x, depth), KEPT).select(*columns)
+    changed = _only(work, ids, "left_semi").join(lists, "doc_id").select("doc_id", "text", "cuts").mapInArrow(lambda x: _kept(x, depth), KEPT)
     changed, _ = common.written(changed, "changed")
-    empty = F.sha2(F.lit("").cast("binary"), 256)
-    no_spans = F.array().cast("array<struct<first: long, after: long>>")
+    span = "array<struct<first: long, after: long>>"
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("after")))
-    copy = F.col("copy").isNotNull()
-    out = sums.join(changed, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
-    spans = F.when(copy, all_of_it).otherwise(F.coalesce("spans", no_spans))
-    more = []
-    if with_kept:
-        out = out.join(rows, "doc_id")
-        more = [F.when(copy, F.lit(b"")).otherwise(F.coalesce("kept", F.col("text").cast("binary"))).alias("kept")]
-    return out.select(common.id_out(), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.size(spans).cast("long").alias("n_spans"), spans.alias("spans"), F.when(copy, empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), *more)
+    whole = _only(_only(rows, ids, "left_anti"), copies, "left_anti")
+    parts = [
+        whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(span).alias("spans"), F.col("text").cast("binary").alias("kept")),
+        changed.select("doc_id", (F.col("n_removed") + F.octet_length("kept")).alias("n_bytes"), "n_removed", "spans", "kept"),
+        _only(sums, copies, "left_semi").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), all_of_it.cast(span).alias("spans"), F.lit(b"").alias("kept")),
+    ]
+    return reduce(DataFrame.unionByName, parts).select(common.id_out(), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans", F.sha2("kept", 256).alias("kept_sha256"), "kept")
