@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..determinism import mode, ranked, uniform
+from .resample import positions
 
 
 def cap(df: DataFrame, by: list[str], key: str, most: int, seed: int = 0) -> DataFrame:
@@ -71,21 +72,51 @@ def downsample(df: DataFrame, condition: Column, key: str, keep: float, seed: in
     return df.where(~F.coalesce(condition, F.lit(False)) | (uniform(seed, key) < keep))
 
 
+def turns(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """Where groups go that each go to the lightest fold so far (of equals the first), largest first.
+
+    sizes: (size, number of groups) from the largest on. For each size a list of (first, turn): from
+    number `first` of its groups on (from 0), they go to the folds of `turn` one after another, again
+    and again. Folds less than one group apart take turns for as long as no heavier one is reached, so
+    a size has a turn for each fold at most, however many its groups.
+    """
+    load, out = [0] * folds, []
+    for size, n in sizes:
+        done, plan = 0, []
+        while done < n:
+            order = sorted(range(folds), key=lambda f: (load[f], f))
+            turn = [f for f in order if load[f] < load[order[0]] + size]
+            take = n - done
+            if len(turn) < folds:
+                gap = load[order[len(turn)]] - load[turn[-1]]
+                take = min(take, -(-gap // size) * len(turn))
+            plan.append((done, turn))
+            for i, f in enumerate(turn):
+                load[f] += size * (take // len(turn) + (i < take % len(turn)))
+            done += take
+        out.append((size, plan))
+    return out
+
+
+#: Sizes whose turns are broadcast.
+BROADCAST_SIZES = 20_000
+
+
 def group_kfold(df: DataFrame, group: str, folds: int) -> DataFrame:
     """group, size, fold: groups by size, largest first, each to the lightest fold so far.
 
-    The greedy order is sequential, so the table of groups is brought to one place: it has a row for
-    each group, of which there are few (100 000 at most; more raise an error).
+    Groups of one size are in an arbitrary order, the same on any number of partitions; a null group
+    is a group. The greedy order is worked out on the histogram of sizes alone, of which n rows have
+    at most sqrt(2n); groups stay distributed, whatever their number.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
-    if sizes.limit(100_001).count() > 100_000:
-        raise ValueError("too many groups for balanced folds; split by hash instead")
-    load, rows = [0] * folds, []
-    for r in sizes.orderBy(F.desc("size"), group).collect():
-        fold = load.index(min(load))
-        load[fold] += r["size"]
-        rows.append((r[group], r["size"], fold))
-    return df.sparkSession.createDataFrame(rows, f"{group} {dict(df.dtypes)[group]}, size long, fold int")
+    plan = turns([tuple(r) for r in sizes.groupBy("size").count().orderBy(F.desc("size")).collect()], folds)
+    plan_df = df.sparkSession.createDataFrame(plan, "size long, plan array<struct<first: long, turn: array<int>>>")
+    at = F.col("pos") - 1
+    now = F.element_at(F.filter("plan", lambda p: p["first"] <= at), -1)
+    fold = F.get(now["turn"], ((at - now["first"]) % F.size(now["turn"])).cast("int"))
+    placed = positions(sizes, ["size"], [group]).join(F.broadcast(plan_df) if len(plan) <= BROADCAST_SIZES else plan_df, "size")
+    return placed.select(group, "size", fold.alias("fold"))
 
 
 def subsample_sources(df: DataFrame, source: str, key: str, target: int, seed: int = 0) -> DataFrame:

@@ -1,5 +1,8 @@
 """Operators on small cases that the tables don't have: nulls, ties, empty inputs, refusals."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +158,37 @@ def test_water(spark):
     assert [r.verdict for r in G.bond_check(G.bonds(chain.where("geom_id = 2"))).collect()] == ["long"]
     p = [[F.lit(float(v)) for v in xyz] for xyz in ((1, 0, 0), (0, 0, 0), (0, 1, 0), (0, 1, 1))]
     assert one(spark, G.dihedral(p)) == pytest.approx(-90)
+
+
+def greedy_folds(sizes, folds):
+    load, out = [0] * folds, []
+    for size in sorted(sizes, reverse=True):
+        out.append((size, load.index(min(load))))
+        load[out[-1][1]] += size
+    return out
+
+
+@pytest.mark.parametrize("folds", [1, 2, 5, 7])
+def test_turns_are_the_greedy_order(folds):
+    draw = random.Random(folds)
+    cases = [[], [1], [3] * 20, [1000] + [1] * 2500, [10, 5, 5, 5, 2, 2] + [1] * 9, [4, 4, 2, 2, 2, 2, 2]]
+    cases += [[draw.choice([1, 2, 3, 5, 8, draw.randint(1, 60)]) for _ in range(draw.randint(1, 200))] for _ in range(200)]
+    for sizes in cases:
+        plan = S.turns(sorted(Counter(sizes).items(), reverse=True), folds)
+        got = []
+        for size, steps in plan:
+            assert len(steps) <= folds
+            for r in range(sizes.count(size)):
+                first, turn = [x for x in steps if x[0] <= r][-1]
+                got.append((size, turn[(r - first) % len(turn)]))
+        assert got == greedy_folds(sizes, folds)
+
+
+@pytest.mark.parametrize("sizes", [[], [40] + [1] * 130 + [7, 7, 3], [2, 2]])
+def test_group_kfold_by_hand(spark, sizes):
+    rows = [(None if g == 1 else g,) for g, n in enumerate(sizes) for _ in range(n)]
+    got = S.group_kfold(spark.createDataFrame(rows, "g long"), "g", 3)
+    assert got.dtypes == [("g", "bigint"), ("size", "bigint"), ("fold", "int")]
+    got = got.collect()
+    assert {r.g: r["size"] for r in got} == {None if g == 1 else g: n for g, n in enumerate(sizes)}
+    assert Counter((r["size"], r.fold) for r in got) == Counter(greedy_folds(sizes, 3))
