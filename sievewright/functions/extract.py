@@ -286,7 +286,7 @@ def ion(name: Column) -> Column:
     pattern = r"^([A-Z][a-z]?)(?:(\d*)([+-])|([+-])(\d+))?$"
     group = lambda i: F.regexp_extract(F.trim(name), pattern, i)
     sign = F.coalesce(F.nullif(group(3), F.lit("")), group(4))
-    size = F.coalesce(F.nullif(group(2), F.lit("")), F.nullif(group(5), F.lit("")), F.lit("1")).cast("int")
+    size = F.coalesce(F.nullif(group(2), F.lit("")), F.nullif(group(5), F.lit("")), F.lit("1")).try_cast("int")
     charge = F.when(sign == "+", size).when(sign == "-", -size).otherwise(0)
     electrons = by_key({k: float(v) for k, v in ATOMIC_NUMBERS.items()}, group(1)) - charge
     return F.when(F.rlike(F.trim(name), F.lit(pattern)), F.struct(group(1).alias("symbol"), charge.alias("charge"), (electrons % 2 + 1).cast("int").alias("multiplicity")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..functions import geometry as G
+from ..functions import names as N
 from ..plans import checkers, checks, references
 from ..plans.expressions import to_column
 from ..registry import query, table
@@ -103,6 +104,36 @@ def q_parse_ion(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", ion["symbol"].alias("symbol"), ion["charge"].alias("charge"))
 
 
+NAMES = ["Fe3+", "Cl-", "chloride", "Iron(III)", "iron atom", "Pd atom", "Fe2+ atom", "C=O", "CC(=O)[O-]", "[Fe+2][Cl-]", "NO2+", "benzene", "", "H2+", "Xx", "H+", "N#N ", "C/C=C a", "OH-"]
+NAME_SQL = "CASE CAST(p_partkey AS BIGINT) % 20 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(NAMES)) + " END"
+
+
+def _signed_sql(sign: str, size: str) -> str:
+    return f"(CASE {sign} WHEN '+' THEN 1 WHEN '-' THEN -1 ELSE 0 END * CAST(coalesce(nullif({size}, ''), '1') AS INT))"
+
+
+def _charge_sql(text: str) -> str:
+    return _signed_sql(f"regexp_extract({text}, '{N.SUFFIX}', 1)", f"regexp_extract({text}, '{N.SUFFIX}', 2)")
+
+
+def _bare_sql(text: str, name: str) -> str:
+    group = lambda i: f"regexp_extract({text}, '{N.BARE}', {i})"
+    return f"{group(1)} AS {name}_symbol, {_signed_sql(group(3), group(2))} AS {name}_charge, coalesce(list_position({N.ELEMENTS}, {group(1)}), 0) AS {name}_z"
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, trim(coalesce({NAME_SQL}, '')) AS s FROM part),
+  known(name, name_symbol, name_charge) AS (VALUES {', '.join(f"('{k}', '{a}', {c})" for k, (a, c) in N.ION_NAMES.items())}),
+  f AS (SELECT p_partkey, s, {_bare_sql("s", "ion")}, {_bare_sql("CASE WHEN lower(s) LIKE '% atom' THEN trim(left(s, len(s) - 5)) ELSE '' END", "atom")}, name_symbol, name_charge, coalesce(list_position({N.ELEMENTS}, name_symbol), 0) AS name_z,
+    {_charge_sql("s")} AS ending, coalesce(list_sum(list_transform(regexp_extract_all(s, '\[([^\]]+)\]', 1), lambda b: {_charge_sql("b")})), 0) AS brackets FROM t LEFT JOIN known ON lower(s) = name),
+  r AS (SELECT *, CASE WHEN s = '' THEN 'empty' WHEN regexp_matches(s, '[=#\[\]/\\@]') AND NOT contains(s, ' ') THEN 'structure' WHEN ion_z > 0 AND ion_z >= ion_charge THEN 'ion' WHEN name_z > 0 THEN 'name' WHEN atom_z > 0 AND atom_z >= atom_charge THEN 'atom' ELSE 'lookup' END AS route FROM f)
+  SELECT p_partkey, route, CASE route WHEN 'ion' THEN ion_symbol WHEN 'name' THEN name_symbol WHEN 'atom' THEN atom_symbol END AS symbol,
+  CASE route WHEN 'empty' THEN 0 WHEN 'ion' THEN ion_charge WHEN 'name' THEN name_charge WHEN 'atom' THEN atom_charge WHEN 'lookup' THEN ending ELSE CASE WHEN ending = 0 THEN brackets ELSE ending END END AS charge,
+  CASE route WHEN 'ion' THEN (ion_z - ion_charge) % 2 + 1 WHEN 'name' THEN (name_z - name_charge) % 2 + 1 WHEN 'atom' THEN (atom_z - atom_charge) % 2 + 1 ELSE 1 END AS multiplicity FROM r""")
+def q_resolve_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Each name by the first route that knows it."""
+    return table(spark, sf, "part").select("p_partkey", N.resolved(F.expr(NAME_SQL)).alias("r")).select("p_partkey", "r.*")
+
+
 @query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.name, b.name) AS name, coalesce(b.bal, a.bal) AS bal, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'first' ELSE 'second' END AS source
   FROM (SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal FROM supplier) a FULL JOIN (SELECT c_custkey + 40 AS k, c_name AS name, c_acctbal AS bal FROM customer) b ON a.k = b.k""")
 def q_merge_sources(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,6 +10,7 @@ from sievewright.determinism import mode, sha1_bucket, uniform
 from sievewright.functions import classify as C
 from sievewright.functions import extract as X
 from sievewright.functions import geometry as G
+from sievewright.functions import names as N
 from sievewright.operators import joins as J
 from sievewright.operators import models as M
 from sievewright.operators import resample as P
@@ -192,3 +193,14 @@ def test_group_kfold_by_hand(spark, sizes):
     got = got.collect()
     assert {r.g: r["size"] for r in got} == {None if g == 1 else g: n for g, n in enumerate(sizes)}
     assert Counter((r["size"], r.fold) for r in got) == Counter(greedy_folds(sizes, 3))
+
+
+def test_resolved_names(spark):
+    want = {
+        "Fe3+": ("ion", "Fe", 3, 2), " Cl- ": ("ion", "Cl", -1, 1), "Ferric Ion": ("name", "Fe", 3, 2), "iron atom": ("name", "Fe", 0, 1), "Pd atom": ("atom", "Pd", 0, 1),
+        "CC(=O)[O-]": ("structure", None, -1, 1), "[Fe+2]=[O-]": ("structure", None, 1, 1), "C=O-": ("structure", None, -1, 1), "NO2+": ("lookup", None, 1, 1), "H2+": ("lookup", None, 1, 1),
+        "Xx": ("lookup", None, 0, 1), "x-99999999999": ("lookup", None, None, 1), "": ("empty", None, 0, 1), None: ("empty", None, 0, 1), " atom": ("lookup", None, 0, 1),
+    }
+    got = spark.createDataFrame([(k,) for k in want], "n string").select("n", N.resolved(F.col("n")).alias("r")).collect()
+    assert {r.n: tuple(r.r) for r in got} == want
+    assert len(N.ELEMENTS) == 86 and N.ELEMENTS[25] == "Fe" and N.ELEMENTS[78] == "Au"
