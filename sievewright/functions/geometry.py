@@ -92,10 +92,11 @@ def clashes(atoms: DataFrame, bonds_of: DataFrame, factor: float = 0.7) -> DataF
 
 
 def nearest_heavy(atoms: DataFrame, cutoff: float) -> DataFrame:
-    """Of each atom the nearest other that is no hydrogen, within a cutoff."""
+    """Of each atom the nearest other that is no hydrogen, within a cutoff, and their distance; of equals to
+    9 digits the smaller index."""
     p = pairs(atoms).where(F.col("d") <= cutoff)
     both = p.select("geom_id", F.col("aidx").alias("idx"), F.col("bidx").alias("other"), F.col("bsymbol").alias("s"), "d").unionByName(p.select("geom_id", F.col("bidx").alias("idx"), F.col("aidx").alias("other"), F.col("asymbol").alias("s"), "d"))
-    return both.where("s <> 'H'").groupBy("geom_id", "idx").agg(F.min(F.struct(F.round("d", 9).alias("d"), "other")).alias("m")).select("geom_id", "idx", "m.other", "m.d")
+    return both.where("s <> 'H'").groupBy("geom_id", "idx").agg(F.min(F.struct(F.round("d", 9).alias("near"), "other", "d")).alias("m")).select("geom_id", "idx", "m.other", "m.d")
 
 
 def dihedral(p: list[list[Column]]) -> Column:

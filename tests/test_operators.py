@@ -161,6 +161,14 @@ def test_water(spark):
     assert one(spark, G.dihedral(p)) == pytest.approx(-90)
 
 
+def test_nearest_heavy_distance_is_not_rounded(spark):
+    """Ties are by 9 digits, but 0.8537694997 must not go to 0.8537695 and then, by six digits, to 0.85377."""
+    atoms = [(1, 0, "C", 0.0, 0.0, 0.0), (1, 1, "N", 0.8537694997, 0.0, 0.0), (2, 0, "H", 0.0, 0.0, 0.0), (2, 1, "O", 1.0 + 1e-11, 0.0, 0.0), (2, 2, "O", -1.0, 0.0, 0.0), (2, 3, "H", 0.0, 0.5, 0.0)]
+    df = spark.createDataFrame(atoms, "geom_id long, idx long, symbol string, x double, y double, z double")
+    got = {(r.geom_id, r.idx): (r.other, r.d, r.six) for r in G.nearest_heavy(df, 1.0001).withColumn("six", F.round("d", 6)).collect()}
+    assert got == {(1, 0): (1, 0.8537694997, 0.853769), (1, 1): (0, 0.8537694997, 0.853769), (2, 0): (1, 1.0 + 1e-11, 1.0)}
+
+
 def greedy_folds(sizes, folds):
     load, out = [0] * folds, []
     for size in sorted(sizes, reverse=True):
